@@ -13,9 +13,10 @@ bottom-k sketch. The steps:
    nodes are compared with a leader of their list and the survivors are star
    edges, so a group of n copies gives about n edges. Exact Jaccard on the full
    sets confirms them, and connected components follow.
-4. Second round: in lists that still hold several components every pair of
-   different components that the estimate lets through is confirmed as well.
-   After it, each pair that could link is in one component or was checked.
+4. Second round: in lists that still hold several components each node tries its
+   few most similar nodes of other components. Third round: every pair of
+   components left that the estimate lets through is confirmed. After it, each
+   pair that could link is in one component or was checked.
 
 Lists longer than ``LIST`` are cut into blocks and every two blocks meet in a
 task of their own, so no task holds an unbounded list.
@@ -38,9 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, documents, table
 
-#: Values retained for the lists, for the estimate, and the number of those a pair shares at least.
-INDEX, SKETCH, SHARED = 32, 64, 12
+#: Values retained for the lists, for the estimate (first and last), and the number of the lists' values a pair shares at least.
+INDEX, SKETCH, WIDE, SHARED = 32, 64, 256, 12
 LIST = 4096
+#: Second round: so many most similar rows of other components for each row of a list.
+BEST = 3
 #: The estimate may fall short of the threshold by so many standard deviations.
 SIGMAS = 6.0
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -90,7 +93,7 @@ def shingle_sets(texts: pa.LargeStringArray, size: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, loc (finds the row again), n, set_key (null if empty), idx (bottom INDEX), sk (bottom SKETCH, 32 bits each)."""
+    """doc_id, loc (finds the row again), n, set_key (null if empty), idx (bottom INDEX), sk (bottom WIDE, 32 bits each)."""
 
     def run(batches):
         for batch in batches:
@@ -103,7 +106,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([s[:INDEX].astype(np.int64) for s in sets], pa.list_(pa.int64())),
-                        pa.array([(s[:SKETCH] >> np.uint64(31)).astype("<u4").tobytes() for s in sets], pa.binary()),
+                        pa.array([(s[:WIDE] >> np.uint64(31)).astype("<u4").tobytes() for s in sets], pa.binary()),
                     ],
                     names=["doc_id", "loc", "n", "set_key", "idx", "sk"],
                 )
@@ -118,55 +121,69 @@ def located(docs: DataFrame) -> DataFrame:
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of sketches (padded with the largest value): shared values among the union's
-    bottom SKETCH, and how many values that union sketch has."""
-    pad = np.uint32(0xFFFFFFFF)
+    bottom k (k: columns of a sketch), and how many values that union sketch has."""
+    pad, k = np.uint32(0xFFFFFFFF), a.shape[1]
     c = np.sort(np.concatenate([a, b], 1), 1)
     real = c != pad
     twice = (c[:, 1:] == c[:, :-1]) & real[:, 1:]
     rank = np.arange(2, c.shape[1] + 1)[None, :] - np.cumsum(twice, 1)
-    size = np.minimum(SKETCH, real.sum(1) - twice.sum(1))
-    return (twice & (rank <= SKETCH)).sum(1), size
+    size = np.minimum(k, real.sum(1) - twice.sum(1))
+    return (twice & (rank <= k)).sum(1), size
 
 
-def passes(sk: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of rows may reach the threshold."""
-    out = np.zeros(len(a), bool)
+def similarity(sk: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Estimates for pairs of rows; -1 where a pair can't reach the threshold."""
+    out = np.full(len(a), -1.0)
     near = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
     for at in range(0, len(a), 20_000):
         k = np.flatnonzero(near[at : at + 20_000]) + at
         if len(k):
             shared, size = union_estimate(sk[a[k]], sk[b[k]])
-            whole = (n[a[k]] <= SKETCH) & (n[b[k]] <= SKETCH)
+            whole = np.maximum(n[a[k]], n[b[k]]) <= sk.shape[1]
             slack = np.where(whole, 1.0, SIGMAS * np.sqrt(size * least * (1 - least)))
-            out[k] = shared >= least * size - slack
+            out[k] = np.where(shared >= least * size - slack, shared / size, -1.0)
     return out
 
 
-def _candidates(least: float, every: bool):
-    """Lists (rows sorted by list) to edges. every: all pairs of different components, else stars."""
+def _centred(group: np.ndarray, sizes: np.ndarray, which: np.ndarray, sk: np.ndarray) -> np.ndarray:
+    """How much of its list's common values a row has; 0 in lists of up to three."""
+    score = np.zeros(len(group))
+    rows = np.flatnonzero(sizes[which] > 3)
+    if len(rows):
+        key = (which[rows].astype(np.uint64)[:, None] << np.uint64(32)) | sk[rows].astype(np.uint64)
+        key[sk[rows] == 0xFFFFFFFF] = 0
+        _, back, count = np.unique(key.ravel(), return_inverse=True, return_counts=True)
+        score[rows] = np.where(key > 0, count[back].reshape(key.shape), 0).sum(1)
+    return score
 
-    def of_lists(group: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, sk: np.ndarray):
-        order = np.lexsort((node, group))
-        group, node, n, comp, sk = group[order], node[order], n[order], comp[order], sk[order]
+
+def _candidates(least: float, best: int | None, width: int, mark: bool = False):
+    """Lists (rows sorted by list) to edges. best: None: stars around leaders; 0: every pair of
+    different components; else each row's so many most similar rows of other components.
+    mark: not the pairs but their rows (v, node)."""
+
+    def of_lists(group: np.ndarray, v: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, sk: np.ndarray):
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         sizes = np.diff(np.r_[starts, len(group)])
+        which = np.repeat(np.arange(len(starts)), sizes)
         ea, eb = [], []
-        if every:
+        if best is not None:
             for s, z in zip(starts.tolist(), sizes.tolist(), strict=True):
                 own = comp[s : s + z]
                 if (own == own[0]).all():
                     continue
-                for i in range(z - 1):
-                    j = np.flatnonzero(own[i + 1 :] != own[i]) + i + 1 + s
-                    if len(j):
-                        ok = passes(sk, n, np.full(len(j), s + i), j, least)
-                        ea.append(np.full(int(ok.sum()), s + i))
-                        eb.append(j[ok])
+                for i in range(z):
+                    j = np.flatnonzero(own != own[i]) + s if best else np.flatnonzero(own[i + 1 :] != own[i]) + i + 1 + s
+                    got = similarity(sk, n, np.full(len(j), s + i), j, least)
+                    j = j[np.argsort(-got, kind="stable")[:best]][: int((got >= 0).sum())] if best else j[got >= 0]
+                    ea.append(np.full(len(j), s + i))
+                    eb.append(j)
         else:
+            # a leader in the middle of its group links most of it
+            order = np.lexsort((node, -_centred(group, sizes, which, sk), which))
             free = np.ones(len(group), bool)
-            which = np.repeat(np.arange(len(starts)), sizes)
             while free.any():
-                rows = np.flatnonzero(free)
+                rows = order[free[order]]
                 first = np.r_[True, which[rows][1:] != which[rows][:-1]]
                 leader = rows[first]
                 free[leader] = False
@@ -176,13 +193,17 @@ def _candidates(least: float, every: bool):
                 lead_of = np.zeros(len(starts), np.int64)
                 lead_of[which[leader]] = leader
                 a = lead_of[which[members]]
-                ok = passes(sk, n, a, members, least)
+                ok = similarity(sk, n, a, members, least) >= 0
                 free[members[ok]] = False
                 ea.append(a[ok])
                 eb.append(members[ok])
         if not ea:
             return None
-        a, b = node[np.concatenate(ea)], node[np.concatenate(eb)]
+        a, b = np.concatenate(ea), np.concatenate(eb)
+        if mark:
+            rows = np.unique(np.concatenate([a, b]))
+            return pa.RecordBatch.from_pydict({"v": pa.array(v[rows]), "node": pa.array(node[rows])})
+        a, b = node[a], node[b]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
@@ -207,22 +228,23 @@ def _candidates(least: float, every: bool):
                 yield out
 
     def arrays(t):
-        sk = np.full((len(t), SKETCH), 0xFFFFFFFF, np.uint32)
+        sk = np.full((len(t), width), 0xFFFFFFFF, np.uint32)
         for i, s in enumerate(t.column("sk").to_pylist()):
             sk[i, : len(s) // 4] = np.frombuffer(s, "<u4")
-        return of_lists(*(t.column(c).to_numpy() for c in ("g", "node", "n", "comp")), sk)
+        return of_lists(*(t.column(c).to_numpy() for c in ("g", "v", "node", "n", "comp")), sk)
 
     return run
 
 
-def candidate_edges(lists: DataFrame, least: float, every: bool) -> DataFrame:
-    """lists: v, node, n, comp, sk, long (members of the list)."""
+def in_lists(lists: DataFrame, least: float, best: int | None, width: int = SKETCH, mark: bool = False) -> DataFrame:
+    """lists: v, node, n, comp, sk, long (members of the list). Distinct (a, b), or (v, node) of pairs."""
     blocks = F.expr(f"cast(ceil(long / {LIST}) AS int)")
     own = F.expr(f"pmod(xxhash64(node), ceil(long / {LIST}))")
     cut = lists.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     g = F.when(F.col("blocks") == 1, F.col("v")).otherwise(F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = cut.select(g.alias("g"), "node", "n", "comp", "sk").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(_candidates(least, every), "a long, b long").distinct()
+    dealt = cut.select(g.alias("g"), "v", "node", "n", "comp", "sk").repartition("g").sortWithinPartitions("g")
+    schema = "v long, node long" if mark else "a long, b long"
+    return table(dealt.mapInArrow(_candidates(least, best, width, mark), schema).distinct(), "edges")
 
 
 def confirmed(edges: DataFrame, reps: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -294,18 +316,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     held = values.join(often, "v").groupBy("node", "s").agg(F.array_sort(F.collect_list(F.struct("long", "v"))).alias("vs"))
     room = F.expr(f"cast((CASE WHEN s < {INDEX} THEN s - floor(0.7 * s) + 1 ELSE {INDEX - SHARED + 1} END) - (s - size(vs)) AS int)")
     lists = held.withColumn("room", room).filter("room > 0").select("node", F.explode(F.expr("slice(vs, 1, room)")).alias("x"))
-    lists = lists.select("node", "x.v", "x.long").join(reps.select("node", "n", "sk"), "node")
+    lists = lists.select("node", "x.v", "x.long").join(reps.select("node", "n", F.substring("sk", 1, 4 * SKETCH).alias("sk")), "node")
     lists = table(lists, "lists")
 
-    edges = table(candidate_edges(lists.withColumn("comp", F.col("node")), least, False), "edges")
-    links = table(confirmed(edges, reps, docs, size, num, den), "links")
+    tried = in_lists(lists.withColumn("comp", F.col("node")), least, None)
+    links = table(confirmed(tried, reps, docs, size, num, den), "links")
     comps = components(links)
-    seen = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = seen.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
-    more = table(candidate_edges(seen.join(mixed, "v", "left_semi"), least, True).join(edges, ["a", "b"], "left_anti"), "edges")
-    if not more.isEmpty():
-        links = links.unionByName(table(confirmed(more, reps, docs, size, num, den), "links"))
-        comps = components(links)
+    for best in (BEST, 0):
+        seen = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = seen.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
+        seen = seen.join(mixed, "v", "left_semi")
+        if best:
+            more = in_lists(seen, least, best)
+        else:  # the wide sketch, which is the whole set of most documents, for rows that the narrow one lets through
+            rows = in_lists(seen, least, 0, SKETCH, True)
+            wide = seen.drop("sk").join(rows, ["v", "node"], "left_semi").join(reps.select("node", "sk"), "node")
+            more = in_lists(wide, least, 0, WIDE)
+        more = table(more.join(tried, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            tried = tried.unionByName(more)
+            links = links.unionByName(table(confirmed(more, reps, docs, size, num, den), "links"))
+            comps = components(links)
 
     named = reps.select("node", "set_key", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_id = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

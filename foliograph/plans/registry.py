@@ -1,6 +1,128 @@
-"""The queries over PDF corpora and their SQL, by name."""
+"""The queries over PDF corpora and their SQL, by name.
+
+The corpus is made from ``documents``: a PDF per row with five lines a page.
+Real bytes are written and parsed again inside each query.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import crypto, pdf
+from ..functions.syntax import Name, Ref, Stream
+from ..operators import tables
+from ..operators.scalars import parse_pdf_date, write_pdf_date
+
+LINES = 5
+
+
+def corpus(spark: SparkSession, sf_dir: str, security: bool = False, orphans: int = 0, **save) -> DataFrame:
+    """doc_id, content."""
+
+    def run(batches):
+        guard = crypto.Security.create(2, "owner", "user", random=lambda n: bytes(n)) if security else None
+        for batch in batches:
+            out = []
+            for doc_id, text, lang, source in zip(batch["doc_id"], batch["text"], batch["lang"], batch["source"], strict=True):
+                lines = [x.encode("cp1252", "ignore") for x in (text or "").split("\n") if x]
+                doc = pdf.build(f"doc-{doc_id}", source or "", lang or "", [lines[i : i + LINES] for i in range(0, len(lines), LINES)])
+                for _ in range(orphans):
+                    doc.add({"Type": Name(b"Orphan")})
+                out.append((doc_id, pdf.save(doc, security=guard, **save)))
+            yield pd.DataFrame(out, columns=["doc_id", "content"])
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").mapInPandas(run, "doc_id long, content binary")
+
+
+def pdf_page_text(spark, sf_dir):
+    return tables.page_texts(corpus(spark, sf_dir))
+
+
+def pdf_document_text(spark, sf_dir):
+    parts = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    return pdf_page_text(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+
+
+def pdf_metadata(spark, sf_dir):
+    return tables.metadata(corpus(spark, sf_dir, xref_stream=True))
+
+
+def pdf_object_histogram(spark, sf_dir):
+    name = F.concat_ws("/", "kind", "type_name")
+    return tables.objects(corpus(spark, sf_dir)).groupBy(name.alias("object")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pdf_ops_histogram(spark, sf_dir):
+    return tables.operations(corpus(spark, sf_dir)).groupBy("operator").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pdf_toc(spark, sf_dir):
+    return tables.outline(corpus(spark, sf_dir))
+
+
+def pdf_edges(spark, sf_dir):
+    return tables.edges(corpus(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def pdf_prune(spark, sf_dir):
+    return tables.each_document(corpus(spark, sf_dir, orphans=3), "pruned int", lambda d: [(len(pdf.prune(d)),)])
+
+
+def pdf_delete_pages(spark, sf_dir):
+    return tables.page_texts(tables.rewrite(corpus(spark, sf_dir), lambda d: pdf.delete_pages(d, [1])))
+
+
+def pdf_replace_partial(spark, sf_dir):
+    def edit(d):
+        for p in pdf.pages(d):
+            pdf.replace_partial(d, p, "the", "THE")
+
+    return tables.page_texts(tables.rewrite(corpus(spark, sf_dir), edit))
+
+
+def pdf_renumber(spark, sf_dir):
+    numbered = tables.rewrite(corpus(spark, sf_dir), lambda d: pdf.renumber(d, 1))
+    return tables.objects(numbered).groupBy("doc_id").agg(F.min("obj_num").alias("first"), F.max("obj_num").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def pdf_objstm_packing(spark, sf_dir):
+    rows = lambda d: [(sum(isinstance(v, Stream) and v.dict.get("Type") == Name(b"ObjStm") for v in d.objects.values()),)]
+    return tables.each_document(corpus(spark, sf_dir, object_streams=True), "containers int", rows)
+
+
+def pdf_encrypt_roundtrip(spark, sf_dir):
+    return tables.page_texts(corpus(spark, sf_dir, security=True), "user")
+
+
+def pdf_date_parse(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", F.unix_timestamp(parse_pdf_date(write_pdf_date(F.col("ts")))).alias("seconds"))
+
+
+QUERIES = {f.__name__: f for f in (pdf_page_text, pdf_document_text, pdf_metadata, pdf_object_histogram, pdf_ops_histogram, pdf_toc, pdf_edges, pdf_prune, pdf_delete_pages, pdf_replace_partial, pdf_renumber, pdf_objstm_packing, pdf_encrypt_roundtrip, pdf_date_parse)}
+
+_LINES = """WITH raw AS (SELECT doc_id, source, lang, t.line, t.ordinality AS pos
+  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, ordinality)),
+l AS (SELECT doc_id, source, lang, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM raw WHERE line <> ''),
+d AS (SELECT doc_id, any_value(source) AS source, any_value(lang) AS lang, count(*) AS lines, CAST(ceil(count(*) / 5.0) AS INT) AS pages FROM l GROUP BY doc_id)
+"""
+_PAGES = _LINES + """SELECT doc_id, CAST((rn-1)//5 + 1 AS INT) AS page_no, string_agg({line}, chr(10) ORDER BY rn) || chr(10) AS text FROM l {where} GROUP BY doc_id, (rn-1)//5"""
+
+SQL = {
+    "pdf_page_text": _PAGES.format(line="line", where=""),
+    "pdf_encrypt_roundtrip": _PAGES.format(line="line", where=""),
+    "pdf_replace_partial": _PAGES.format(line="replace(line, 'the', 'THE')", where=""),
+    "pdf_delete_pages": _LINES + "SELECT doc_id, CAST((rn-1)//5 AS INT) AS page_no, string_agg(line, chr(10) ORDER BY rn) || chr(10) AS text FROM l WHERE rn > 5 GROUP BY doc_id, (rn-1)//5",
+    "pdf_document_text": _LINES + "SELECT doc_id, string_agg(line, chr(10) ORDER BY rn) || chr(10) AS text FROM l GROUP BY doc_id",
+    "pdf_metadata": _LINES + "SELECT doc_id, 'doc-' || doc_id AS title, source AS author, lang AS keywords, pages AS page_count, '1.5' AS version, false AS encrypted FROM d",
+    "pdf_ops_histogram": _LINES + "SELECT operator, n FROM (SELECT CAST(sum(pages) AS BIGINT) AS p, CAST(sum(lines) AS BIGINT) AS t FROM d), unnest([{'operator': 'BT', 'n': p}, {'operator': 'ET', 'n': p}, {'operator': 'Tf', 'n': p}, {'operator': 'Td', 'n': p}, {'operator': 'Tj', 'n': t}, {'operator': 'T*', 'n': t - p}]) AS u(s), LATERAL (SELECT s.operator AS operator, s.n AS n) WHERE n > 0",
+    "pdf_object_histogram": _LINES + "SELECT object, n FROM (SELECT CAST(sum(pages) AS BIGINT) AS p, count(*) AS c FROM d), unnest([{'object': 'Dictionary/Pages', 'n': c}, {'object': 'Dictionary/Font', 'n': c}, {'object': 'Dictionary/Page', 'n': p}, {'object': 'Stream', 'n': p}, {'object': 'Dictionary/Outlines', 'n': c}, {'object': 'Dictionary/Catalog', 'n': c}, {'object': 'Dictionary', 'n': p + 2 * c}]) AS u(s), LATERAL (SELECT s.object AS object, s.n AS n)",
+    "pdf_toc": _LINES + "SELECT doc_id, CAST(i AS INT) AS seq, CAST(1 AS INT) AS level, 'page ' || i AS title, CAST(i AS INT) AS page_no FROM d, LATERAL (SELECT unnest(generate_series(1, pages)) AS i)",
+    "pdf_edges": _LINES + "SELECT doc_id, CAST(2 + 2 + 1 + 1 + 3 * pages + 2 + pages * 2 + 2 * (pages - 1) AS BIGINT) AS n_edges FROM d",
+    "pdf_prune": _LINES + "SELECT doc_id, CAST(3 AS INT) AS pruned FROM d",
+    "pdf_renumber": _LINES + "SELECT doc_id, CAST(1 AS BIGINT) AS first, CAST(3 * pages + 6 AS BIGINT) AS last, CAST(3 * pages + 6 AS BIGINT) AS n FROM d",
+    "pdf_objstm_packing": _LINES + "SELECT doc_id, CAST(ceil((2 * pages + 6) / 100.0) AS INT) AS containers FROM d",
+    "pdf_date_parse": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events",
+}

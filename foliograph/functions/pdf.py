@@ -333,6 +333,8 @@ def save(doc: Document, object_streams: bool = False, xref_stream: bool = False,
         if r not in inside:
             put(r, v)
     top = max((r.num for r in objects), default=0)
+    if previous:  # the older file's numbers are taken, also where the update doesn't have them
+        top = max(top, trailer.get("Size", 0) - 1)
     for at in range(0, len(packed), per_stream):
         top += 1
         part = packed[at : at + per_stream]

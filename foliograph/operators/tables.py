@@ -10,12 +10,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions import pdf
-from ..functions.syntax import PdfError, kind, parse_content
+from ..functions import edit, pdf
+from ..functions.encodings import decode_text_string
+from ..functions.syntax import Name, PdfError, Str, kind, parse_content
 
 
-def each_document(files: DataFrame, schema: str, rows, password: str | None = None, strict: bool = False) -> DataFrame:
-    """``rows(document)`` gives tuples without doc_id; ``files`` has doc_id and content."""
+def each_file(files: DataFrame, schema: str, rows, strict: bool = False) -> DataFrame:
+    """``rows(content)`` gives tuples without doc_id; ``files`` has doc_id, of any type, and content."""
 
     def run(batches):
         names = ["doc_id", *[c.strip().split(" ")[0] for c in schema.split(",")]]
@@ -23,15 +24,22 @@ def each_document(files: DataFrame, schema: str, rows, password: str | None = No
             out = []
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
-                    doc = pdf.load(bytes(content), password, strict)
+                    got = list(rows(bytes(content)))
                 except PdfError:
                     if strict:
                         raise
                     continue
-                out += [(doc_id, *r) for r in rows(doc)]
-            yield pd.DataFrame(out, columns=names)
+                out += [(doc_id, *r) for r in got]
+            # as objects, or whole numbers beside nulls would become floats
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    key = files.schema["doc_id"].dataType.simpleString()
+    return files.filter("content IS NOT NULL").select("doc_id", "content").mapInPandas(run, f"doc_id {key}, {schema}")
 
-    return files.select("doc_id", "content").mapInPandas(run, f"doc_id long, {schema}")
+
+def each_document(files: DataFrame, schema: str, rows, password: str | None = None, strict: bool = False) -> DataFrame:
+    """``rows(document)`` gives tuples without doc_id."""
+    return each_file(files, schema, lambda content: rows(pdf.load(content, password, strict)), strict)
 
 
 def page_texts(files: DataFrame, password: str | None = None) -> DataFrame:
@@ -77,17 +85,52 @@ def metadata(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, "doc_id long, title string, author string, keywords string, page_count int, version string, encrypted boolean")
 
 
-def rewrite(files: DataFrame, edit, **save) -> DataFrame:
-    """doc_id, content after ``edit(document)`` and a new save."""
+def rewrite(files: DataFrame, change, **save) -> DataFrame:
+    """doc_id, content after ``change(document)`` and a new save."""
 
     def run(batches):
         for batch in batches:
             out = []
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 doc = pdf.load(bytes(content))
-                edit(doc)
+                change(doc)
                 out.append((doc_id, pdf.save(doc, **save)))
             yield pd.DataFrame(out, columns=["doc_id", "content"])
 
     return files.select("doc_id", "content").mapInPandas(run, "doc_id long, content binary")
 
+
+
+def images(files: DataFrame) -> DataFrame:
+    """doc_id, page_no, obj_num, width, height, bits, color_space, filters, size; pages with own resources only."""
+
+    def rows(d):
+        for n, p in enumerate(pdf.pages(d), 1):
+            if "Resources" in d.get(p):
+                for x in edit.images(d, p):
+                    yield n, x["id"], x["width"], x["height"], x["bits"], x["color_space"], ",".join(x["filters"]), x["size"]
+
+    return each_document(files, "page_no int, obj_num long, width int, height int, bits int, color_space string, filters string, size long", rows)
+
+
+def annotations(files: DataFrame) -> DataFrame:
+    """doc_id, page_no, idx, subtype, contents."""
+
+    def rows(d):
+        for n, p in enumerate(pdf.pages(d), 1):
+            for i, a in enumerate(edit.annotations(d, p)):
+                subtype, text = a.get("Subtype"), d.soft(a.get("Contents"))
+                yield n, i, subtype.decode("latin-1") if isinstance(subtype, Name) else None, decode_text_string(text) if isinstance(text, Str) else None
+
+    return each_document(files, "page_no int, idx int, subtype string, contents string", rows)
+
+
+def fonts(files: DataFrame) -> DataFrame:
+    """doc_id, page_no, name, base_font, subtype: the nearest definition of each name."""
+    name = lambda v: v.decode("latin-1") if isinstance(v, Name) else None
+    return each_document(files, "page_no int, name string, base_font string, subtype string", lambda d: [(n, k, name(f.get("BaseFont")), name(f.get("Subtype"))) for n, p in enumerate(pdf.pages(d), 1) for k, f in pdf.page_fonts(d, p).items()])
+
+
+def update(files: DataFrame, change, **save) -> DataFrame:
+    """doc_id, content: each file with an incremental update after it; files that can't take one go."""
+    return each_file(files, "content binary", lambda content: [(edit.save_update(content, change, **save),)])

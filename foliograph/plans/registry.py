@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import crypto, pdf
-from ..functions.syntax import Name, Ref, Stream
-from ..operators import tables
+from ..functions import crypto, edit, pdf
+from ..functions.syntax import Name, Ref, Str, Stream
+from ..operators import graph, tables
 from ..operators.scalars import parse_pdf_date, write_pdf_date
 
 LINES = 5
@@ -101,7 +101,97 @@ def pdf_date_parse(spark, sf_dir):
     return e.select("event_id", F.unix_timestamp(parse_pdf_date(write_pdf_date(F.col("ts")))).alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (pdf_page_text, pdf_document_text, pdf_metadata, pdf_object_histogram, pdf_ops_histogram, pdf_toc, pdf_edges, pdf_prune, pdf_delete_pages, pdf_replace_partial, pdf_renumber, pdf_objstm_packing, pdf_encrypt_roundtrip, pdf_date_parse)}
+def pdf_nodes(spark, sf_dir):
+    found = graph.nodes(corpus(spark, sf_dir))
+    return found.groupBy("doc_id").agg(F.count_if(F.col("kind") == "Reference").alias("n_references"), F.count_if((F.col("obj_num") > 0) & (F.col("depth") == 0)).alias("n_objects"))
+
+
+def _rotated(d):
+    edit.rotate(d, 450)
+
+
+def pdf_incremental_xref(spark, sf_dir):
+    """Entries of both revisions of updated files, and of the newest of each object."""
+    entries = graph.xref_entries(tables.update(corpus(spark, sf_dir), _rotated))
+    newest = graph.resolved(entries).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_objects"), F.count_if(F.col("revision") == 0).alias("n_updated"))
+    return entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_entries")).join(newest, "doc_id")
+
+
+def pdf_incremental_rotate(spark, sf_dir):
+    updated = tables.update(corpus(spark, sf_dir), _rotated)
+    return tables.each_document(updated, "page_no int, rotate int", lambda d: [(n, d.get(p)["Rotate"]) for n, p in enumerate(pdf.pages(d), 1)])
+
+
+def pdf_dangling(spark, sf_dir):
+    """References to content streams that were taken out."""
+
+    def take_out(d):
+        for p in pdf.pages(d):
+            d.objects.pop(d.get(p)["Contents"])
+
+    files = tables.rewrite(corpus(spark, sf_dir), take_out)
+    return graph.dangling(tables.edges(files), tables.objects(files)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_dangling"))
+
+
+def pdf_referrers(spark, sf_dir):
+    """How often the most used object of each document is pointed at."""
+    return graph.referrers(tables.edges(corpus(spark, sf_dir))).groupBy("doc_id").agg(F.max("uses").alias("most"))
+
+
+def pdf_bookmarks(spark, sf_dir):
+    """The outline is replaced by a part without a page of its own and its pages below it."""
+
+    def change(d):
+        edit.delete_outlines(d)
+        below = [edit.Bookmark(f"p{n}", p) for n, p in enumerate(pdf.pages(d), 1)]
+        if below:
+            edit.set_outline(d, [edit.Bookmark("tëil", children=below)])
+
+    return tables.outline(tables.rewrite(corpus(spark, sf_dir), change))
+
+
+def pdf_images(spark, sf_dir):
+    def change(d):
+        for n, p in enumerate(pdf.pages(d), 1):
+            edit.insert_image(d, p, edit.image(n, 2, bytes(6 * n)), (10, 10), (20, 20))
+
+    return tables.images(tables.rewrite(corpus(spark, sf_dir), change)).drop("obj_num", "size")
+
+
+def pdf_image_page_text(spark, sf_dir):
+    """Text stays as it was under an image and a form."""
+
+    def change(d):
+        for p in pdf.pages(d):
+            edit.insert_image(d, p, edit.image(1, 1, bytes(3)), (10, 10), (20, 20))
+            edit.insert_form(d, p, edit.form([0, 0, 9, 9], [1, 0, 0, 1, 0, 0], b"0 0 9 9 re f"))
+
+    return tables.page_texts(tables.rewrite(corpus(spark, sf_dir), change))
+
+
+def pdf_annotations(spark, sf_dir):
+    def change(d):
+        for n, p in enumerate(pdf.pages(d), 1):
+            d.get(p)["Annots"] = [d.add({"Type": Name(b"Annot"), "Subtype": Name(b"Text"), "Contents": Str(b"note %d" % n)}), 7, {"Subtype": Name(b"Link")}]
+
+    return tables.annotations(tables.rewrite(corpus(spark, sf_dir), change))
+
+
+def pdf_fonts(spark, sf_dir):
+    return tables.fonts(corpus(spark, sf_dir))
+
+
+def pdf_zero_length_streams(spark, sf_dir):
+    """Two empty streams hang on the catalog; they go with the references to them."""
+
+    def rows(d):
+        d.catalog["Extra"] = [d.add(Stream({}, b"")), d.add(Stream({}, b""))]
+        return [(len(edit.delete_zero_length_streams(d)), len(d.catalog["Extra"]))]
+
+    return tables.each_document(corpus(spark, sf_dir), "deleted int, left int", rows)
+
+
+QUERIES = {f.__name__: f for f in (pdf_page_text, pdf_document_text, pdf_metadata, pdf_object_histogram, pdf_ops_histogram, pdf_toc, pdf_edges, pdf_prune, pdf_delete_pages, pdf_replace_partial, pdf_renumber, pdf_objstm_packing, pdf_encrypt_roundtrip, pdf_date_parse, pdf_nodes, pdf_incremental_xref, pdf_incremental_rotate, pdf_dangling, pdf_referrers, pdf_bookmarks, pdf_images, pdf_image_page_text, pdf_annotations, pdf_fonts, pdf_zero_length_streams)}
 
 _LINES = """WITH raw AS (SELECT doc_id, source, lang, t.line, t.ordinality AS pos
   FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, ordinality)),
@@ -125,4 +215,15 @@ SQL = {
     "pdf_renumber": _LINES + "SELECT doc_id, CAST(1 AS BIGINT) AS first, CAST(3 * pages + 6 AS BIGINT) AS last, CAST(3 * pages + 6 AS BIGINT) AS n FROM d",
     "pdf_objstm_packing": _LINES + "SELECT doc_id, CAST(ceil((2 * pages + 6) / 100.0) AS INT) AS containers FROM d",
     "pdf_date_parse": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events",
+    "pdf_nodes": _LINES + "SELECT doc_id, CAST(2 + 2 + 1 + 1 + 3 * pages + 2 + pages * 2 + 2 * (pages - 1) AS BIGINT) AS n_references, CAST(3 * pages + 6 AS BIGINT) AS n_objects FROM d",
+    "pdf_incremental_xref": _LINES + "SELECT doc_id, CAST(4 * pages + 6 AS BIGINT) AS n_entries, CAST(3 * pages + 6 AS BIGINT) AS n_objects, CAST(pages AS BIGINT) AS n_updated FROM d",
+    "pdf_incremental_rotate": _LINES + "SELECT doc_id, CAST(i AS INT) AS page_no, CAST(90 AS INT) AS rotate FROM d, LATERAL (SELECT unnest(generate_series(1, pages)) AS i)",
+    "pdf_dangling": _LINES + "SELECT doc_id, CAST(pages AS BIGINT) AS n_dangling FROM d",
+    "pdf_referrers": _LINES + "SELECT doc_id, CAST(pages + 1 AS BIGINT) AS most FROM d",
+    "pdf_bookmarks": _LINES + "SELECT doc_id, CAST(i + 1 AS INT) AS seq, CAST(CASE WHEN i = 0 THEN 1 ELSE 2 END AS INT) AS level, CASE WHEN i = 0 THEN 'tëil' ELSE 'p' || i END AS title, CAST(greatest(i, 1) AS INT) AS page_no FROM d, LATERAL (SELECT unnest(generate_series(0, pages)) AS i)",
+    "pdf_images": _LINES + "SELECT doc_id, CAST(i AS INT) AS page_no, CAST(i AS INT) AS width, CAST(2 AS INT) AS height, CAST(8 AS INT) AS bits, 'DeviceRGB' AS color_space, 'FlateDecode' AS filters FROM d, LATERAL (SELECT unnest(generate_series(1, pages)) AS i)",
+    "pdf_image_page_text": _PAGES.format(line="line", where=""),
+    "pdf_annotations": _LINES + "SELECT doc_id, CAST(i AS INT) AS page_no, CAST(k AS INT) AS idx, CASE k WHEN 0 THEN 'Text' ELSE 'Link' END AS subtype, CASE k WHEN 0 THEN 'note ' || i END AS contents FROM d, LATERAL (SELECT unnest(generate_series(1, pages)) AS i), LATERAL (SELECT unnest([0, 1]) AS k)",
+    "pdf_fonts": _LINES + "SELECT doc_id, CAST(i AS INT) AS page_no, 'F1' AS name, 'Courier' AS base_font, 'Type1' AS subtype FROM d, LATERAL (SELECT unnest(generate_series(1, pages)) AS i)",
+    "pdf_zero_length_streams": _LINES + "SELECT doc_id, CAST(2 AS INT) AS deleted, CAST(0 AS INT) AS left FROM d",
 }

@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The network's decisions can't be put in SQL; tests/llm checks every stage by brute force.
+#: The network's decisions can't be put in SQL. tests/llm tests the operators of the stages; the chain itself has no brute-force test yet.
 ORACLE_SQL = None
 
 

@@ -9,12 +9,16 @@ one row or task. ``render_dialogues`` joins the segments of bounded ones.
 
 A participant's view of a turn depends only on whether the participant spoke
 it, and the lengths of both forms are known, so places are prefix sums: one
-over all turns as "user" plus one of differences at the speaker's own turns.
+over all turns as "user" plus one of differences at the speaker's own turns. Both
+have two levels, within a span of ``SPAN`` turn numbers and over the sums of
+whole spans, so a conversation with a third of all turns is spread over tasks
+and texts are shuffled once. Turns of one number stay in one span.
 
 Defined results: a null text is empty; a null role is a participant named
 ``unknown``; turns with one number keep the order of role and text; repeated
 rows are turns of their own; a null turn comes first; a conversation without
-participants (system only) gives no rows; an empty table gives none.
+participants (system only) gives no rows; rows with a null conv_id are in no
+conversation and go; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,23 +26,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 SYSTEM = "system"
 UNKNOWN = "unknown"
+#: Turn numbers of a span: the unit that one task sorts, whatever the length of its conversation.
+SPAN = 256
+
+
+def span_bases(t: DataFrame, system_role: str) -> DataFrame:
+    """A row per (conv_id, span, speaker): turns, width and own turns in the spans before it."""
+    sums = t.groupBy("conv_id", "span", "name").agg(F.count(F.lit(1)).alias("rows"), F.sum("width").alias("width"))
+    sums = table(sums, "spans")
+    before = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sums.groupBy("conv_id", "span").agg(F.sum("rows").alias("rows"), F.sum("width").alias("width"))
+    spans = spans.select(
+        "conv_id", "span",
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum("width").over(before), F.lit(0)).alias("width_before"),
+    )
+    spoken = sums.filter(F.col("name") != system_role).select("conv_id", "span", F.col("name").alias("speaker"), F.col("rows").alias("spoken"))
+    grid = spans.join(spoken.select("conv_id", "speaker").distinct(), "conv_id").join(spoken, ["conv_id", "span", "speaker"], "left")
+    own = Window.partitionBy("conv_id", "speaker").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    return grid.select("conv_id", "span", "speaker", "rows_before", "width_before", F.coalesce(F.sum("spoken").over(own), F.lit(0)).alias("spoken_before"))
 
 
 def rotate_perspectives(turns: DataFrame, system_role: str = SYSTEM) -> DataFrame:
     """conv_id, speaker, turn, seq, role, segment, start, end, train_start, train_end, trained."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("name"), F.coalesce("text", F.lit("")).alias("body"))
-    by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "name", "body")
-    t = t.withColumn("seq", F.row_number().over(by) - 1)
-    people = t.filter(F.col("name") != system_role).select("conv_id", F.col("name").alias("speaker")).distinct()
-    v = t.join(people, "conv_id")
+    t = t.withColumn("span", F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(-(1 << 62)))).filter("conv_id IS NOT NULL")
+    plain = F.when(F.col("name") == system_role, "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), "name", F.lit("|>\n")))
+    mark = "<|end|>\n"
+    t = t.withColumn("plain", plain).withColumn("width", F.length("plain") + F.length("body") + len(mark))
+    spans = span_bases(t, system_role)
+
+    by = Window.partitionBy("conv_id", "span").orderBy(F.col("turn").asc_nulls_first(), "name", "body").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("nth", F.row_number().over(by)).withColumn("upto", F.sum("width").over(by))
+    v = t.join(spans, ["conv_id", "span"])
     own = F.col("name") == F.col("speaker")
+    along = Window.partitionBy("conv_id", "span", "speaker").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    v = v.withColumn("spoken", F.col("spoken_before") + F.sum(own.cast("long")).over(along))
+    # each own turn changes a place by the difference of its two heads
+    shift = F.lit(len("<|assistant|>\n") - len("<|user name=|>\n")) - F.length("speaker")
+    v = v.withColumn("end", F.col("width_before") + F.col("upto") + F.col("spoken") * shift)
     role = F.when(own, "assistant").when(F.col("name") == system_role, "system").otherwise("user")
-    head = F.when(own, "<|assistant|>\n").when(F.col("name") == system_role, "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), "name", F.lit("|>\n")))
-    v = v.withColumn("role", role).withColumn("head", head).withColumn("segment", F.concat("head", "body", F.lit("<|end|>\n")))
-    along = Window.partitionBy("conv_id", "speaker").orderBy("seq")
-    v = v.withColumn("end", F.sum(F.length("segment")).over(along)).withColumn("start", F.col("end") - F.length("segment"))
+    v = v.withColumn("role", role).withColumn("head", F.when(own, "<|assistant|>\n").otherwise(F.col("plain"))).withColumn("segment", F.concat("head", "body", F.lit(mark)))
+    v = v.withColumn("start", F.col("end") - F.length("segment")).withColumn("seq", (F.col("rows_before") + F.col("nth") - 1).cast("int"))
     # the head is given, the body and the end mark are learned
     return v.select(
         "conv_id", "speaker", "turn", "seq", "role", "segment", "start", "end",

@@ -147,3 +147,26 @@ def test_chat(spark):
     for r in got:
         assert all(r.dialogue[m.train_start : m.train_end].endswith("<|end|>") for m in r.masks)
     assert chat_format.rotate_perspectives(t.limit(0)).count() == 0
+
+
+def test_chat_spans(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "SPAN", 4)
+    rng = np.random.default_rng(5)
+    people, turns = ["system", "ann", "bo", None], [None, -9, *range(40)]
+    rows = [(int(rng.integers(3)), turns[rng.integers(len(turns))], people[rng.integers(4)], [None, "", "x" * int(rng.integers(9))][rng.integers(3)]) for _ in range(400)]
+    rows += [rows[0], rows[0], (None, 1, "ann", "lost")]
+    got = chat_format.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = Counter()
+    for conv in range(3):
+        own = sorted((t is not None, t or 0, n or "unknown", b or "") for c, t, n, b in rows if c == conv)
+        for speaker in {n for _, _, n, _ in own} - {"system"}:
+            at = 0
+            for seq, (known, t, n, b) in enumerate(own):
+                mine = n == speaker
+                head = "<|assistant|>\n" if mine else "<|system|>\n" if n == "system" else f"<|user name={n}|>\n"
+                segment = f"{head}{b}<|end|>\n"
+                end = at + len(segment)
+                role = "assistant" if mine else "system" if n == "system" else "user"
+                want[conv, speaker, t if known else None, seq, role, segment, at, end, at + len(head) if mine else None, end - 1 if mine else None, mine] += 1
+                at = end
+    assert Counter(map(tuple, got)) == want

@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The network's decisions can't be put in SQL. tests/llm tests the operators of the stages; the chain itself has no brute-force test yet.
+#: The network's decisions can't be put in SQL. tests/llm/test_pipeline.py holds each stage, on what its predecessor kept, against a brute-force version.
 ORACLE_SQL = None
 
 

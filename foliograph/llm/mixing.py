@@ -15,8 +15,7 @@ bucket), so a source with a third of all rows is spread over all tasks.
 
 Defined results: a null text has no words and is never taken; a null source is
 a source of its own, last in order; rows repeated with one doc_id are documents
-of their own with the same counts wherever they land; an empty table gives an
-empty result.
+of their own, each with its own place; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, table
+from .common import SPACE, WORD, documents, table
 
 BLOCK_WORDS = 1024
 WEIGHTS = (5, 2, 1)
@@ -68,14 +67,14 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, limi
 
 
 def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 1):
-    """(placed, slots, uses).
+    """(placed, sources, slots, uses).
 
     placed: a row per document with its place in its source's stream.
-    slots: shard, slot, sid, k, block, words: the mix.
-    uses: sid, start, taken: words that the mix takes of the document there.
+    slots: shard, slot, sid, k, p, block, words: the mix.
+    uses: sid, start, p, first, last: words that a slot of pass p takes of the document there.
     """
-    spark = docs.sparkSession
-    sized = table(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    sized = table(docs.select(row.alias("_row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
     n = sized.count()
     sources = table(source_targets(sized, weights, share, limit).coalesce(1), "sources")
 
@@ -84,9 +83,9 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, s
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("_sum"))
     before = sums.select("sid", "bucket", (F.sum("_sum").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("_sum")).alias("_base"))
-    within = Window.partitionBy("sid", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("sid", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.withColumn("_run", F.sum("size").over(within)).join(before, ["sid", "bucket"])
-    placed = table(placed.select("doc_id", "source", "size", "sid", (F.col("_base") + F.col("_run") - F.col("size")).alias("start")), "placed")
+    placed = table(placed.select("_row", "doc_id", "source", "size", "sid", (F.col("_base") + F.col("_run") - F.col("size")).alias("start")), "placed")
 
     # Slots of a source: whole passes over its n blocks, then as many blocks as the rest needs.
     t = sources.filter("source_size > 0").select("sid", "source_size", F.round("target").cast("long").alias("want"))
@@ -102,16 +101,16 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, s
         .withColumn("block", F.expr(f"CASE WHEN i = n - 1 THEN i ELSE {permuted('i', '(n - 1)', f'{seed}, sid, p')} END"))
         .withColumn("words", F.expr(f"least({block_words}L, source_size - block * {block_words}L, CASE WHEN p < passes THEN {block_words}L ELSE rest - i * {block_words}L END)"))
         .withColumn("slot", F.expr(permuted("first + k", "deck", str(seed))))
-        .select(F.expr(f"slot div {SLOTS_PER_SHARD}").alias("shard"), "slot", "sid", "k", "block", "words")
+        .select(F.expr(f"slot div {SLOTS_PER_SHARD}").alias("shard"), "slot", "sid", "k", "p", "block", "words")
     )
 
     # Pieces of documents by block; a document of many blocks is cut into one piece for each.
     piece = placed.filter("size > 0").select("sid", "start", "size", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")).alias("block"))
     piece = piece.select("sid", "start", "block", F.expr(f"greatest(start - block * {block_words}L, 0L)").alias("lo"), F.expr(f"least(start + size - block * {block_words}L, {block_words}L)").alias("hi"))
     uses = (
-        piece.join(slots.select("sid", "block", "words"), ["sid", "block"])
-        .groupBy("sid", "start")
-        .agg(F.sum(F.expr("greatest(least(hi, words) - lo, 0L)")).alias("taken"))
+        piece.join(slots.select("sid", "p", "block", "words"), ["sid", "block"])
+        .filter("least(hi, words) > lo")
+        .select("sid", "start", "p", F.expr(f"block * {block_words}L + lo - start").alias("first"), F.expr(f"block * {block_words}L + least(hi, words) - start").alias("last"))
     )
     return placed, sources, slots, uses
 
@@ -119,23 +118,33 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, s
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
     placed, sources, _, uses = mix_plan(docs, **options)
+    uses = uses.groupBy("sid", "start").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     facts = sources.select("sid", "source_size", "target")
     out = placed.filter("size > 0").join(uses, ["sid", "start"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.join(facts, "sid").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents, columns as before: a document is repeated as often as the mix takes
-    all its words, then once more with its first words as far as the rest goes (single spaces
-    between them). Documents of which nothing is taken go."""
-    counts = mix_counts(docs, **options).filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    both = docs.join(counts, docs["doc_id"].eqNullSafe(counts["doc_id"])).drop(counts["doc_id"])
-    both = both.withColumn("_copy", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
-    part = F.expr(f"array_join(slice(filter(split(text, '{WORD.replace('^', '')}'), w -> w <> ''), 1, cast(_taken % _size AS int)), ' ')".replace("\\", "\\\\"))
-    both = both.withColumn("text", F.when(F.col("_copy") * F.col("_size") <= F.col("_taken"), F.col("text")).otherwise(part))
+    """The mix as documents, columns as before: a row for each range of words that a pass over the
+    source takes of a document. Blocks that follow each other in one document are one range, so a
+    document of which a pass takes all comes whole. A range keeps the white space after its words
+    (and that before the first); all ranges of a document together are its text. Documents of which
+    nothing is taken go."""
+    docs = table(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    placed, _, _, uses = mix_plan(docs, **options)
+    by = Window.partitionBy("sid", "start", "p").orderBy("first")
+    uses = uses.withColumn("new", F.when(F.lag("last").over(by) == F.col("first"), 0).otherwise(1)).withColumn("range", F.sum("new").over(by))
+    ranges = uses.groupBy("sid", "start", "p", "range").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ranges = ranges.groupBy("sid", "start").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
+    taken = placed.filter("size > 0").join(ranges, ["sid", "start"]).select("_row", F.col("size").alias("_size"), "_ranges")
+    # the words are bound to a name of a lambda, so that a text is split once for all its ranges
+    split = f"regexp_extract_all(text, '(^{SPACE})?{WORD}{SPACE[:-1]}*', 0)".replace("\\", "\\\\")
+    part = "CASE WHEN r.last - r.first = _size THEN text ELSE array_join(slice(w, cast(r.first + 1 AS int), cast(r.last - r.first AS int)), '') END"
+    parts = f"CASE WHEN exists(_ranges, r -> r.last - r.first < _size) THEN transform(array({split}), w -> transform(_ranges, r -> {part}))[0] ELSE transform(_ranges, r -> text) END"
+    out = docs.join(taken, "_row").withColumn("_text", F.explode(F.expr(parts))).withColumn("text", F.col("_text"))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(c for c in docs.columns if c != "_row"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

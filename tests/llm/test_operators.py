@@ -85,6 +85,24 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix_counts(empty).count() == 0
 
 
+def test_mixing_ranges(spark):
+    """The words of the mix are those of the drawn blocks, with their white space, and not a prefix as long."""
+    rng = np.random.default_rng(11)
+    gaps = [" ", "\n", "  ", "\r\n\t"]
+    rows = [(i, "\n " * (i % 2) + "".join(f"d{i}w{j}{gaps[rng.integers(4)]}" for j in range(int(rng.integers(1, 200))))) for i in range(40)]
+    t, texts = spark.createDataFrame([(i, x, f"s{i % 3}") for i, x in rows], "doc_id long, text string, source string"), dict(rows)
+    words = lambda x: re.findall(mixing.WORD, x)
+    placed, _, slots, _ = mixing.mix_plan(t, block_words=16)
+    stream = {}
+    for r in placed.orderBy("sid", "start").collect():
+        stream.setdefault(r.sid, []).extend(words(texts[r.doc_id]))
+    want = Counter(x for r in slots.collect() for x in stream[r.sid][r.block * 16 : r.block * 16 + r.words])
+    got = mixing.mix_documents(t, block_words=16).collect()
+    assert Counter(x for r in got for x in words(r.text)) == want
+    assert all(r.text in texts[r.doc_id] for r in got)
+    assert any(not texts[r.doc_id].startswith(r.text) for r in got)
+
+
 def test_licenses(docs, texts, empty):
     got = license_scan.scan_licenses(docs).collect()
     words = lambda t: [w for w in re.split(license_scan.NOT_WORD, t) if w]

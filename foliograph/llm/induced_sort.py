@@ -6,7 +6,8 @@ induced: a scan in sorted order names each suffix's predecessor, which joins the
 queue of its first byte. Queue entries are (suffix, value), where the value is
 the length that the suffix shares with the entry before it: 1 plus the least
 value passed since the last entry of that queue. Queues work in batches and
-move to disk when they outgrow their memory; so do the text's side arrays.
+move to disk when they outgrow their memory. The text and its side arrays, some
+30 bytes a byte, are in memory: the caller bounds the text.
 
 Values are capped (``depth``): order and value beyond the cap don't matter here.
 The disk files have no name (they vanish with the task, even when it is killed).
@@ -18,18 +19,11 @@ import tempfile
 
 import numpy as np
 
-#: Bytes of queue entries held in memory, and of one side array before it is mapped to disk.
+#: Bytes of queue entries held in memory.
 MEMORY = 64 << 20
 _INF = np.int32(1 << 30)
 
 
-def disk_array(n: int, dtype, memory: int = MEMORY) -> np.ndarray:
-    """An array in memory, or in an unnamed file if it is larger than ``memory``."""
-    if n * np.dtype(dtype).itemsize <= memory:
-        return np.empty(n, dtype)
-    return np.memmap(tempfile.TemporaryFile(), dtype, "w+", shape=(n,))
-
-
 class Queues:
     """First-in-first-out queues of (suffix, value) by byte; the held part goes to disk when it is too large."""
 

@@ -8,10 +8,14 @@ travels as one piece of text.
 
 * Runs whose key occurs once are unique and end there.
 * Runs with equal pieces are repeated as a whole; one of them goes on.
+* A key whose different pieces have more bytes than a shard is split: starts at
+  like distances before the run's gram share a core of text, and windows that
+  are equal have equal cores, so the core's hash is their new key. Cores get
+  longer until they are the windows themselves (``SPLITS``), which are equal or
+  don't meet. No shard outgrows its bound, however frequent a passage is.
 * The pieces that share a key but differ are sorted as suffixes: external
   induced sorting with common-prefix values (``induced_sort``) marks the starts
-  whose first ``length`` bytes stand elsewhere. A shard may be larger than
-  memory; its queues move to disk.
+  whose first ``length`` bytes stand elsewhere.
 
 Then each document's marked starts become removed byte ranges.
 
@@ -34,8 +38,10 @@ from .induced_sort import MEMORY, repeated_starts
 
 LENGTH = 400
 GRAM = 32
-#: Bytes of pieces that are sorted at once; a key with more is sorted alone, on disk where needed.
+#: Bytes of pieces that are sorted at once; a key with more is split.
 SHARD = 2 << 20
+#: Starts that share a core, at each split of a key that is still too large.
+SPLITS = (64, 8, 1)
 RANGES = "array<struct<first: int, last: int>>"
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,6 +115,37 @@ def _runs(length: int, gram: int):
     return run
 
 
+def sub_runs(raw: bytes, m: int, first: int, last: int, at: int | None, length: int, gram: int, width: int):
+    """(key, first, last, place of the gram) of a run's starts, by distance to the gram in steps of ``width``."""
+    if at is None:
+        with np.errstate(over="ignore"):
+            h = gram_hashes(np.frombuffer(raw[first : last + length], np.uint8), gram)
+        at = first + int(np.argmax(h == np.int64(m).view(np.uint64)))
+    for c in range((at - last) // width, (at - first) // width + 1):
+        far = min((c + 1) * width - 1, length - gram)
+        core = hashlib.blake2b(raw[at - c * width : at - far + length], digest_size=8, key=b"%d %d" % (m, c)).digest()
+        yield int.from_bytes(core, "little", signed=True), max(first, at - far), min(last, at - c * width), at
+
+
+def _resplit(length: int, gram: int, width: int):
+    """Documents with runs of keys that are too large to shorter runs with finer keys."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, texts in by_bytes(batch, "text", 1 << 20):
+                out: list[tuple] = []
+                for text, row, id_, runs in zip(texts.to_pylist(), rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                    raw = text.encode()
+                    for r in {r["first"]: r for r in runs}.values():
+                        for m, first, last, at in sub_runs(raw, r["m"], r["first"], r["last"], r["gram"], length, gram, width):
+                            out.append((m, hashlib.blake2b(raw[first : last + length], digest_size=16).digest(), row, id_, first, last, at))
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["m", "piece", "row", "id", "first", "last", "gram"])
+
+    return run
+
+
 def cover(size: int, ranges, length: int) -> tuple[np.ndarray, int]:
     """(mask of removed bytes, number of spans) for ranges of marked starts."""
     step = np.zeros(size + 1, np.int64)
@@ -224,20 +261,36 @@ def _finish(length: int, with_kept: bool):
     return run
 
 
+def _met(base: DataFrame, length: int, gram: int, shard: int) -> tuple[DataFrame, DataFrame]:
+    """(runs that stand elsewhere too, different pieces by key to sort: at most ``shard`` bytes of a key)."""
+    runs = base.filter(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), "m long, piece binary, row long, id long, first int, last int")
+    runs = table(runs, "runs").withColumn("gram", F.lit(None).cast("int"))
+    marks = asks = None
+    for width in (*SPLITS, None):
+        one = runs.groupBy("m", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "id", "first", "last", "gram")).alias("at"))
+        several = one.groupBy("m").agg(F.count(F.lit(1)).alias("pieces"), F.max("n").alias("most"), F.sum(F.col("at.last") - F.col("at.first") + length).alias("bytes")).filter("pieces > 1 OR most > 1")
+        pieces = table(one.join(several, "m").select("m", "piece", "n", "pieces", "bytes", "at"), "pieces")
+        large = F.lit(width is not None) & (F.col("pieces") > 1) & (F.col("bytes") > shard)
+
+        known = runs.join(pieces.filter("n > 1").select("m", "piece"), ["m", "piece"], "left_semi").select("row", "id", F.struct("first", "last", F.lit(True).alias("known"), F.lit(None).cast("long").alias("m"), F.lit(False).alias("alone")).alias("r"))
+        ask = pieces.filter((F.col("pieces") > 1) & ~large).select("at.row", "at.id", F.struct("at.first", "at.last", F.lit(False).alias("known"), "m", (F.col("n") == 1).alias("alone")).alias("r"))
+        marks = known if marks is None else marks.unionByName(known)
+        asks = ask if asks is None else asks.unionByName(ask)
+        over = pieces.filter(large)
+        if width is None or over.isEmpty():
+            return marks, asks
+        # one of equal pieces goes on; all of them are known to be repeated
+        own = over.groupBy("at.row", "at.id").agg(F.collect_list(F.struct("m", "at.first", "at.last", "at.gram")).alias("runs")).withColumnsRenamed({"row": "_row", "id": "_id"})
+        once = base.join(own, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["row", "id"]).select("row", "id", "text", "runs")
+        runs = table(once.mapInArrow(_resplit(length, gram, width), "m long, piece binary, row long, id long, first int, last int, gram int"), "runs")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, memory: int = MEMORY, with_kept: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
     t = F.coalesce("text", F.lit(""))
     # identical rows share (row, id) and everything that follows from it
     base = docs.select(F.xxhash64("doc_id", t).alias("row"), F.col("doc_id").cast("long").alias("id"), t.alias("text"))
-    runs = base.filter(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), "m long, piece binary, row long, id long, first int, last int")
-    runs = table(runs, "runs")
-
-    one = runs.groupBy("m", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "id", "first", "last")).alias("at"))
-    several = one.groupBy("m").agg(F.count(F.lit(1)).alias("pieces"), F.max("n").alias("most")).filter("pieces > 1 OR most > 1")
-    pieces = table(one.join(several, "m").select("m", "piece", "n", "pieces", "at"), "pieces")
-
-    marks = runs.join(pieces.filter("n > 1").select("m", "piece"), ["m", "piece"], "left_semi").select("row", "id", F.struct("first", "last", F.lit(True).alias("known"), F.lit(None).cast("long").alias("m"), F.lit(False).alias("alone")).alias("r"))
-    asks = pieces.filter("pieces > 1").select("at.row", "at.id", F.struct("at.first", "at.last", F.lit(False).alias("known"), "m", (F.col("n") == 1).alias("alone")).alias("r"))
+    marks, asks = _met(base, length, gram, shard)
     # a document's own runs: as many as its length allows
     own = marks.unionByName(asks).groupBy("row", "id").agg(F.collect_list("r").alias("runs"))
     both = base.join(own.withColumnsRenamed({"row": "_row", "id": "_id"}), (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("row", "id", "text", "runs")

@@ -63,6 +63,26 @@ def test_suffix_dedup(docs, texts, empty):
     assert suffix_dedup.remove_repeats(empty.select("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("shared", [8, 30, 38, 60])
+def test_suffix_hot_key(spark, shared):
+    """A passage with other neighbours in every text: no key has more than a shard, and the result is that of one shard."""
+    rng = np.random.default_rng(shared)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage, ends = word(shared), [word(60) for _ in range(6)]
+    rows = [(i, word(int(rng.integers(0, 60))) + (ends[i % 6] if i % 3 else word(20)) + passage + (ends[i % 5] if i % 2 else word(30))) for i in range(80)]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    base = docs.selectExpr("xxhash64(doc_id, text) AS row", "doc_id AS id", "text")
+    most = lambda shard: max((r[1] for r in suffix_dedup._met(base, 40, 8, shard)[1].selectExpr("r.m", "r.last - r.first + 40 AS b").groupBy("m").sum("b").collect()), default=0)
+    assert most(300) <= 300 < most(1 << 30)
+    seen = Counter(t[i : i + 40] for _, t in [*rows, rows[3]] for i in range(len(t) - 39))
+    got = {(r.doc_id, r.n_removed, r.kept) for r in suffix_dedup.remove_repeats(docs, length=40, gram=8, shard=300, with_kept=True).collect()}
+    want = set()
+    for d, t in rows:
+        gone = {j for i in range(len(t) - 39) if seen[t[i : i + 40]] > 1 for j in range(i, i + 40)}
+        want.add((d, len(gone), "".join(c for j, c in enumerate(t) if j not in gone).encode()))
+    assert {(d, n, bytes(k)) for d, n, k in got} == want
+
+
 @pytest.mark.parametrize("memory", [200, 1 << 20])
 def test_induced_sort(memory):
     rng = np.random.default_rng(3)

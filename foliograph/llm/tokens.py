@@ -4,12 +4,14 @@ Both vocabularies split a text before they merge bytes, and never across a
 place where white space follows other characters. So the ids of a text are the
 ids of its words in a row. Words come from Arrow kernels, known words from a
 bounded cache, and only new ones go to the tokenizers library. Texts in which
-cutting at white space isn't proven safe are given to the library whole.
+cutting at white space isn't proven safe, and texts that spell out an added
+token (such as <|endoftext|>), are given to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
+        self.added = "(?i)" + "|".join(re.sub(r"([^\w\s])", r"\\\1", a) for a in added) if added else None
         self.keeps_space = keeps_space
         #: No text that is cut holds a carriage return (ODD_SPACE); words rarely hold the control character.
         self.mark = "\r" if keeps_space else "\x01"
@@ -125,23 +128,26 @@ class WordEncoder:
         coded = flat.dictionary_encode()
         words, index = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
         whole: dict[int, list[int]] = {}
+        odd = np.zeros(n, bool)
+        if self.added:
+            odd = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         if self.keeps_space:
-            odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+            odd = odd | pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
             odd_words = np.array([w in ("", "\n") for w in words], bool)
             if odd_words.any():
                 bad_sum = np.concatenate([[0], np.cumsum(odd_words[index])])
                 odd = odd | (bad_sum[ends[1:]] > bad_sum[ends[:-1]])
-            odd_rows = np.flatnonzero(odd)
             firsts = ends[:-1][ends[1:] > ends[:-1]]
             first_words = flat.take(pa.array(firsts)).to_pylist()
             numbers = self._numbers([w if w[:1] == "\n" else " " + w for w in words])[index]
             distinct = dict.fromkeys(first_words)
             at = dict(zip(distinct, self._numbers(list(distinct)), strict=True))
             numbers[firsts] = [at[w] for w in first_words]
-            if len(odd_rows):
-                whole = dict(zip(odd_rows.tolist(), self._library([texts[int(i)].as_py() for i in odd_rows]), strict=True))
         else:
             numbers = self._numbers(words)[index]
+        odd_rows = np.flatnonzero(odd)
+        if len(odd_rows):
+            whole = dict(zip(odd_rows.tolist(), self._library([texts[int(i)].as_py() for i in odd_rows]), strict=True))
         begin = self.starts[numbers]
         length = self.starts[numbers + 1] - begin
         for i in whole:  # their own ids come below

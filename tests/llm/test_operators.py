@@ -147,6 +147,19 @@ def test_tokens(spark, docs, texts, empty, tmp_path):
     assert token_files.read_token_files(spark, f"file://{tmp_path}/e").count() == 0
 
 
+@pytest.mark.parametrize("name, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens(name, keeps_space):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from foliograph.llm.tokens import WordEncoder
+
+    t = Tokenizer.from_file(vocabulary(name))
+    texts = ["a<|endoftext|>b", "one two", "", "x <|startoftext|> y <|EndOfText|>\nz", "<|endoftext|>", "no <| endoftext |> here", "end"]
+    ids, ends = WordEncoder(vocabulary(name), keeps_space).encode(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, vocabulary("byte_bpe_50k.json"), length=64).toPandas()
     for _, g in got.sort_values("offset").groupby("sequence_id"):

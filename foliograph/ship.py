@@ -12,12 +12,16 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch for Python workers: a batch of whole documents stays small whatever their length.
+BATCH_BYTES = 8 << 20
 _done: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Adds the package to the session's Python files, once per application."""
     sc = spark.sparkContext
+    if int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _done:
         return spark
     root = os.path.dirname(os.path.abspath(__file__))

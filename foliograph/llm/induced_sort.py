@@ -80,72 +80,82 @@ def suffix_types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _refined(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> None:
-    """Splits groups of equal rank among ``rows`` by ``key``; a rank is the place of its group's first."""
-    order = np.lexsort((key, rank[rows]))
-    r, k = rank[rows][order], key[order]
+    """Splits groups of equal rank among ``rows`` by ``key`` (below 2^32); a rank is the place of its group's first."""
+    both = (rank[rows].astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64)
+    order = np.argsort(both)
+    both = both[order]
+    r = rank[rows[order]]
     at = np.arange(len(r))
     group = np.maximum.accumulate(np.where(np.r_[True, r[1:] != r[:-1]], at, 0))
-    same = np.maximum.accumulate(np.where(np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])], at, 0))
-    rank[rows[order]] = r + same - group
+    same = np.maximum.accumulate(np.where(np.r_[True, both[1:] != both[:-1]], at, 0))
+    rank[rows[order]] = r + (same - group).astype(rank.dtype)
 
 
 def _shared(rank: np.ndarray) -> np.ndarray:
     """Rows whose rank isn't theirs alone."""
-    order = np.argsort(rank, kind="stable")
-    r = rank[order]
-    same = np.r_[r[1:] == r[:-1], False]
-    return order[same | np.r_[False, same[:-1]]]
+    return np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
 
 
-def sorted_lms(text: np.ndarray, s: np.ndarray, depth: int) -> np.ndarray:
-    """LMS suffixes in order of their first ``depth`` bytes at least."""
+def sorted_lms(text: np.ndarray, s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """LMS suffixes in order of their first ``depth`` values at least, and what each shares with the one before it, capped."""
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     m = len(lms)
     if m < 2:
-        return lms
+        return lms, np.zeros(m, np.int32)
     end = np.r_[lms[1:], len(text) - 1]  # a piece ends with the next one's first byte
     size = end - lms + 1
-    typed = np.append(text.astype(np.uint64) * np.uint64(2) + s, np.zeros(8, np.uint64))
-    rank = np.zeros(m, np.int64)
+    typed = np.append(text.astype(np.uint32) * np.uint32(2) + s, np.zeros(8, np.uint32))
+    rank = np.zeros(m, np.int32)
     rows, at = np.arange(m), 0
     while len(rows) and at < depth + 8:
-        key = np.zeros(len(rows), np.uint64)
-        for j in range(6):
+        key = np.zeros(len(rows), np.uint32)
+        for j in range(3):
             p = lms[rows] + at + j
-            key = (key << np.uint64(10)) | np.where(at + j < size[rows], typed[np.minimum(p, len(typed) - 1)], np.uint64(0))
+            key = (key << np.uint32(10)) | np.where(at + j < size[rows], typed[np.minimum(p, len(typed) - 1)], np.uint32(0))
         _refined(rank, rows, key)
-        at += 6
+        at += 3
         rows = _shared(rank)
         rows = rows[size[rows] > at]
-    step = 1
+    levels, step = [rank.copy()], 1  # ranks by 1, 2, 4, ... pieces
     while True:  # names of pairs: twice as many pieces each time
         rows = _shared(rank)
         ahead = rows + step
         covered = np.where(ahead < m, lms[np.minimum(ahead, m - 1)], len(text)) - lms[rows]
         rows = rows[covered < depth]
-        if not len(rows):
+        if not len(rows) or step >= m:
             break
         ahead = rows + step
-        _refined(rank, rows, np.where(ahead < m, rank[np.minimum(ahead, m - 1)], -1))
+        before = levels[-1]
+        _refined(rank, rows, np.where(ahead < m, before[np.minimum(ahead, m - 1)] + 1, 0))
+        levels.append(rank.copy())
         step *= 2
-    return lms[np.argsort(rank, kind="stable")]
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Shared length of each suffix with the one before it in ``order``, capped."""
-    out = np.zeros(len(order), np.int32)
-    padded = np.append(text, np.zeros(depth + 32, text.dtype))
-    left = np.arange(1, len(order))
-    step = 16
-    at = 0
-    while len(left) and at < depth:
-        a, b = order[left - 1] + at, order[left] + at
-        cols = np.arange(step)
-        equal = padded[np.minimum(a, len(text))[:, None] + cols] == padded[np.minimum(b, len(text))[:, None] + cols]
-        run = np.where(equal.all(1), step, equal.argmin(1))
-        out[left] += run.astype(np.int32)
-        left = left[run == step]
-        at += step
+    order = np.argsort(rank)
+    return lms[order], _lms_prefixes(text, lms, order, levels, depth)
+
+
+def _lms_prefixes(text: np.ndarray, lms: np.ndarray, order: np.ndarray, levels: list[np.ndarray], depth: int) -> np.ndarray:
+    """Shared lengths of neighbours: whole pieces from the ranks of 2^k pieces, then values one by one."""
+    m = len(lms)
+    out = np.full(m, depth, np.int32)
+    out[0] = 0
+    left = np.flatnonzero(np.r_[False, levels[-1][order[1:]] != levels[-1][order[:-1]]])
+    a, b = order[left - 1], order[left]
+    start = lms[b]
+    for k in range(len(levels) - 2, -1, -1):
+        same = (a + (1 << k) < m) & (b + (1 << k) < m) & (levels[k][np.minimum(a, m - 1)] == levels[k][np.minimum(b, m - 1)])
+        a, b = a + same * (1 << k), b + same * (1 << k)
+    done = (lms[b] - start).astype(np.int32)
+    out[left] = np.minimum(done, depth)
+    x, y = lms[a], lms[b]
+    padded = np.append(text, np.zeros(16, text.dtype))
+    go = done < depth
+    left, x, y = left[go], x[go], y[go]
+    while len(left):
+        equal = padded[np.minimum(x, len(text))[:, None] + np.arange(8)] == padded[np.minimum(y, len(text))[:, None] + np.arange(8)]
+        run = np.where(equal.all(1), 8, equal.argmin(1)).astype(np.int32)
+        out[left] += run
+        go = (run == 8) & (out[left] < depth) & (np.maximum(x, y) < len(text))
+        left, x, y = left[go], x[go] + 8, y[go] + 8
     return np.minimum(out, depth)
 
 
@@ -153,7 +163,7 @@ class _Scan:
     """Induces predecessors while entries pass in order."""
 
     def __init__(self, text: np.ndarray, s: np.ndarray, queues: Queues, smaller: bool, depth: int, keys: int):
-        self.text, self.s, self.queues, self.smaller, self.depth = text, s, queues, smaller, depth
+        self.text, self.s, self.queues, self.smaller, self.depth = text.astype(np.uint16), s, queues, smaller, depth  # short keys sort by radix
         self.since = np.full(keys, _INF, np.int32)  # least value passed since the last push
         self.used = np.zeros(keys, bool)
 
@@ -200,8 +210,7 @@ def repeated_starts(text: np.ndarray, depth: int, memory: int = MEMORY) -> np.nd
         return marks[:-1]
     keys = int(text.max()) + 1
     s, run = suffix_types(text)
-    order = sorted_lms(text, s, depth)
-    values = common_prefixes(text, order, depth)
+    order, values = sorted_lms(text, s, depth)
     heads = text[order]
     bounds = np.searchsorted(heads, np.arange(keys + 1))
 

@@ -42,6 +42,8 @@ GRAM = 32
 SHARD = 2 << 20
 #: Starts that share a core, at each split of a key that is still too large.
 SPLITS = (64, 8, 1)
+#: Places of the bitmap that tells which documents have runs to look at.
+BITS = 1 << 26
 RANGES = "array<struct<first: int, last: int>>"
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -261,6 +263,20 @@ def _finish(length: int, with_kept: bool):
     return run
 
 
+def _named_rows(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """``base`` with ``_may``: false only for documents that aren't among ``rows``.
+
+    A bitmap of BITS places is broadcast: 8 MB at most, however many rows there
+    are. Beyond some ten million it names all documents, which costs a shuffle.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(BITS))
+    bits = rows.select((place("row") / F.lit(1 << 15)).cast("long").alias("_part"), (place("row") % (1 << 15)).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = place("row") % (1 << 15)
+    octet = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(octet.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
+    return base.withColumn("_part", (place("row") / F.lit(1 << 15)).cast("long")).join(F.broadcast(bits), "_part", "left").select(*base.columns, hit.alias("_may"))
+
+
 def _met(base: DataFrame, length: int, gram: int, shard: int) -> tuple[DataFrame, DataFrame]:
     """(runs that stand elsewhere too, different pieces by key to sort: at most ``shard`` bytes of a key)."""
     runs = base.filter(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), "m long, piece binary, row long, id long, first int, last int")
@@ -281,7 +297,7 @@ def _met(base: DataFrame, length: int, gram: int, shard: int) -> tuple[DataFrame
             return marks, asks
         # one of equal pieces goes on; all of them are known to be repeated
         own = over.groupBy("at.row", "at.id").agg(F.collect_list(F.struct("m", "at.first", "at.last", "at.gram")).alias("runs")).withColumnsRenamed({"row": "_row", "id": "_id"})
-        once = base.join(own, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["row", "id"]).select("row", "id", "text", "runs")
+        once = _named_rows(base, own.select(F.col("_row").alias("row"))).filter("_may").drop("_may").join(own, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["row", "id"]).select("row", "id", "text", "runs")
         runs = table(once.mapInArrow(_resplit(length, gram, width), "m long, piece binary, row long, id long, first int, last int, gram int"), "runs")
 
 
@@ -292,17 +308,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     base = docs.select(F.xxhash64("doc_id", t).alias("row"), F.col("doc_id").cast("long").alias("id"), t.alias("text"))
     marks, asks = _met(base, length, gram, shard)
     # a document's own runs: as many as its length allows
-    own = marks.unionByName(asks).groupBy("row", "id").agg(F.collect_list("r").alias("runs"))
-    both = base.join(own.withColumnsRenamed({"row": "_row", "id": "_id"}), (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("row", "id", "text", "runs")
+    own = table(marks.unionByName(asks).groupBy("row", "id").agg(F.collect_list("r").alias("runs")), "own")
+    named = _named_rows(base, own.select("row"))
+    same = (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))
+    both = named.filter("_may").join(own.withColumnsRenamed({"row": "_row", "id": "_id"}), same, "left").select("row", "id", "text", "runs")
     parts = table(both.mapInArrow(_split(length), PARTS_SQL), "parts")
 
-    asked = parts.filter("kind = 1").select("m", "row", "id", "first", "alone", "body").distinct()
+    asked = parts.filter("kind = 1").select("m", "row", "id", "first", "alone", "body").dropDuplicates(["m", "row", "id", "first"])
     found = asked.repartition("m").sortWithinPartitions("m").mapInArrow(_sort(length, shard, memory), "row long, id long, first int, last int")
     more = found.groupBy("row", "id").agg(F.collect_list(F.struct("first", "last")).alias("more")).withColumnsRenamed({"row": "_row", "id": "_id"})
-    waiting = parts.filter("kind = 2").join(more, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "body", "known", "more")
+    waiting = parts.filter("kind = 2").join(more, same, "left").select("id", "body", "known", "more")
     decided = parts.filter("kind = 0").select("id", "body", "known", F.lit(None).cast(RANGES).alias("more"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return decided.unionByName(waiting).mapInArrow(_finish(length, with_kept), schema)
+    cut = decided.unionByName(waiting).mapInArrow(_finish(length, with_kept), schema)
+    # documents without a run that stands elsewhere keep all their bytes
+    zero = F.lit(0).cast("long")
+    whole = [F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
+    return cut.unionByName(named.filter("NOT _may").select(*whole, *[F.col("text").cast("binary").alias("kept")] * with_kept))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

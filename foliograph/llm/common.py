@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +24,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, one machine) a local one is set.
+    Only where the session has none and runs on one machine (tests) a local one is set.
     """
     ship(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not path:
         path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -36,6 +41,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written in the innermost ``scratch``.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
@@ -44,8 +53,39 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written in it at its end, but for those passed through the function that it gives.
+
+    What leaves the block may read kept tables only.
+    """
+    written: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._table_path)
+        return df
+
+    token = _written.set(written)
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        if (outer := _written.get()) is not None:
+            outer.extend(kept)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in written:
+            if path not in kept:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
 
 
 def lower_ascii(col: Column) -> Column:
@@ -66,7 +106,7 @@ def text_of(batch, name: str):
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
-def by_bytes(batch, name: str, limit: int = 16 << 20):
+def by_bytes(batch, name: str, limit: int = 3 << 20):
     """Cuts a batch into slices of about ``limit`` bytes of text.
 
     A slice holds one row at least, whatever its size.

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, table
+from .common import by_bytes, documents, scratch, table
 
 #: Values retained for the lists, for the estimate (first and last), and the number of the lists' values a pair shares at least.
 INDEX, SKETCH, SHARED = 32, 64, 12
@@ -425,9 +425,11 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    out = _grouped(docs, size, num, den)
     component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with scratch(docs.sparkSession) as keep:
+        out = _grouped(docs, size, num, den).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        out = keep(table(out, "groups"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -436,10 +438,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int
     Rows are told apart by a key of their own, so a doc_id that stands in several
     rows drops none of another text and keeps none of a group's other rows.
     """
-    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = table(_grouped(rows, size, num, den).filter("comp IS NOT NULL").select("comp", "doc_id", "_row"), "groups")
-    stay = groups.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row")).alias("r")).select("r._row")
-    out = groups.select("_row").join(stay, "_row", "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"))
+        groups = table(_grouped(rows, size, num, den).filter("comp IS NOT NULL").select("comp", "doc_id", "_row"), "groups")
+        stay = groups.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row")).alias("r")).select("r._row")
+        out = keep(table(groups.select("_row").join(stay, "_row", "left_anti"), "dropped"))
     return rows.join(out, "_row", "left_anti").select(*docs.columns)
 
 

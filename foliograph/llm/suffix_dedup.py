@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, table
+from .common import by_bytes, documents, scratch, table
 from .induced_sort import MEMORY, repeated_starts
 
 LENGTH = 400
@@ -306,9 +306,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     t = F.coalesce("text", F.lit(""))
     # identical rows share (row, id) and everything that follows from it
     base = docs.select(F.xxhash64("doc_id", t).alias("row"), F.col("doc_id").cast("long").alias("id"), t.alias("text"))
-    marks, asks = _met(base, length, gram, shard)
-    # a document's own runs: as many as its length allows
-    own = table(marks.unionByName(asks).groupBy("row", "id").agg(F.collect_list("r").alias("runs")), "own")
+    with scratch(docs.sparkSession) as keep:
+        marks, asks = _met(base, length, gram, shard)
+        # a document's own runs: as many as its length allows
+        own = keep(table(marks.unionByName(asks).groupBy("row", "id").agg(F.collect_list("r").alias("runs")), "own"))
     named = _named_rows(base, own.select("row"))
     same = (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))
     both = named.filter("_may").join(own.withColumnsRenamed({"row": "_row", "id": "_id"}), same, "left").select("row", "id", "text", "runs")

@@ -2,9 +2,12 @@
 
 Every word pair of every document is hashed and joined with the word pairs of
 license templates. A hit votes for the diagonal (place in the document minus
-place in the template). Votes are summed by diagonal; diagonals next to each
-other (words put in or left out) are merged into spans; a span is verified by
-the words themselves, which the pairs carry, and by its share of the template.
+place in the template). Votes are gathered by diagonal; diagonals next to each
+other (words put in or left out) are merged into spans whose width the
+template's length bounds; a span is verified by the words themselves, which the
+pairs carry: its different template places are walked in order, each has to
+stand behind the one before in the document, and those that do are its share of
+the template. A pair that comes back again and again is one place.
 
 The join's small side is the templates: fixed, a few hundred word pairs.
 
@@ -38,7 +41,8 @@ PASSAGES = (
     ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
 )
 MIN_SHARE = 0.7
-NEAR = 3
+#: A span's diagonals lie within this part of its template's pairs: so many words may be put in or left out.
+SLACK = 0.4
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -52,7 +56,7 @@ def _templates(spark: SparkSession, base, passages) -> DataFrame:
     return pairs.groupBy(F.xxhash64("w1", "w2").alias("h"), "w1", "w2").agg(F.collect_list(F.struct("t", "label", "is_base", "votes_all", "tpos")).alias("places"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, passages=PASSAGES, min_share: float = MIN_SHARE, near: int = NEAR) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, passages=PASSAGES, min_share: float = MIN_SHARE, slack: float = SLACK) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     words = F.filter(F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD), lambda w: w != "")
@@ -64,19 +68,19 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.withColumn("h", F.when(F.col("w1").isNotNull() & F.col("w2").isNotNull(), F.xxhash64("w1", "w2")))
     hits = pairs.join(F.broadcast(_templates(spark, base, passages)), ["h", "w1", "w2"], "left").filter("places IS NOT NULL OR pos = 0")
     hits = hits.select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("at"), F.explode_outer("places").alias("p"))
-    votes = (
-        hits.groupBy("row", "doc_id", "n_words", F.col("p.t").alias("t"), F.col("p.label").alias("label"), F.col("p.is_base").alias("is_base"), F.col("p.votes_all").alias("votes_all"), (F.col("at") - F.col("p.tpos")).alias("diagonal"))
-        .agg(F.count("p").alias("votes"))
-    )
-    # A base phrase stands where its diagonal has all votes. Passages: diagonals at most `near` apart are one span.
+    template = ["row", "doc_id", "n_words", F.col("p.t").alias("t"), F.col("p.label").alias("label"), F.col("p.is_base").alias("is_base"), F.col("p.votes_all").alias("votes_all")]
+    votes = hits.groupBy(*template, (F.col("at") - F.col("p.tpos")).alias("diagonal")).agg(F.count("p").alias("votes"), F.collect_list("p.tpos").alias("places"))
+    # A base phrase stands where its diagonal has all votes. Passages: each diagonal with those up to the slack behind it is a span.
     by = Window.partitionBy("row", "t").orderBy("diagonal")
-    votes = votes.withColumn("new", F.when(F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(by) > near) | F.lag("diagonal").over(by).isNull(), 1).otherwise(0))
-    votes = votes.withColumn("span", F.sum("new").over(by))
-    spans = votes.groupBy("row", "doc_id", "n_words", "t", "label", "is_base", "votes_all", "span").agg(F.min("diagonal").alias("start"), F.sum("votes").alias("votes"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("votes_all"))
-    found = F.col("is_base") & (F.col("votes") >= F.col("votes_all"))
-    added = found | (~F.col("is_base") & (share >= min_share))
-    spans = spans.withColumn("found", F.coalesce(found, F.lit(False))).withColumn("added", F.coalesce(added, F.lit(False)))
+    place = F.expr("transform(places, x -> struct(x AS tpos, x + diagonal AS at))")
+    spans = votes.withColumn("_run", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= F.col("votes_all") * slack, 0).otherwise(1)).over(by))
+    wide = spans.filter("NOT is_base").groupBy("row", "t", "_run").agg(F.array_sort(F.flatten(F.collect_list(place))).alias("_all"))
+    spans = spans.join(wide, ["row", "t", "_run"], "left").withColumn("_near", F.expr(f"filter(_all, x -> x.at - x.tpos BETWEEN diagonal AND diagonal + votes_all * {slack})"))
+    enough = F.size(F.array_distinct(F.expr("transform(_near, x -> x.tpos)"))) >= F.col("votes_all") * min_share
+    walked = F.expr("aggregate(_near, struct(0 AS n, -1 AS tpos, cast(-1 AS bigint) AS at), (s, x) -> CASE WHEN x.tpos > s.tpos AND x.at > s.at THEN struct(s.n + 1 AS n, x.tpos AS tpos, cast(x.at AS bigint) AS at) ELSE s END, s -> s.n)")
+    share = F.when(F.col("is_base"), F.col("votes") / F.col("votes_all")).otherwise(F.coalesce(F.when(enough, walked), F.lit(0)) / F.col("votes_all"))
+    spans = spans.select("row", "doc_id", "n_words", "label", "is_base", F.col("diagonal").alias("start"), F.coalesce(F.col("is_base") & (F.col("votes") >= F.col("votes_all")), F.lit(False)).alias("found"), share.alias("share"))
+    spans = spans.withColumn("added", F.coalesce(F.col("share") >= min_share, F.lit(False)) & (F.col("found") | ~F.coalesce(F.col("is_base"), F.lit(False))))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return (
         spans.groupBy("row", "doc_id", "n_words")
@@ -86,7 +90,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.max(F.when(F.col("found"), F.col("start"))).cast("long").alias("last_word"),
             labels(F.col("found")).alias("base_labels"),
             labels(F.col("added")).alias("labels"),
-            F.coalesce(F.max(F.when(F.col("added"), share)), F.lit(0.0)).alias("score"),
+            F.coalesce(F.max(F.when(F.col("added"), F.col("share"))), F.lit(0.0)).alias("score"),
         )
         .drop("row")
     )

@@ -6,9 +6,11 @@ kept, and a linear layer with softmax gives the languages' probabilities. A
 text is cut into windows of a fixed number of bytes, all of it, and its score
 is the mean of its windows' log-probabilities, weighted by length, normalised.
 
-Training takes a bounded sample: at most ``per_lang`` texts of each language,
-those with the smallest hash of the id, and one window of each text per epoch.
-Rows with crc32(doc_id) % 5 = 0 are held out and never seen.
+Training takes a bounded sample of rows: at most ``per_lang`` whole texts of each
+language, and about ``SAMPLE_ROWS`` in all, those with the smallest hashes, and
+one window of each text per epoch. Rows with crc32(doc_id) % 5 = 0 are held out
+and never seen. Sums run in one order for every window, so a text's score does
+not depend on the batch it is in.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 rows with a null lang aren't trained on; without any training row every text
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -29,9 +31,11 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 WINDOW = 256
 PER_LANG = 600
-MAX_LANGS = 500
+#: Rows of the sample: with more languages than SAMPLE_ROWS / PER_LANG each brings fewer, LEAST at least.
+SAMPLE_ROWS, LEAST = 24_000, 8
+#: With so many languages at most their limits (some 50 bytes each) are broadcast.
+BROADCAST_LANGS = 20_000
 EPOCHS = 12
-SAMPLE_CHARS = 4000
 UND = "und"
 
 
@@ -152,7 +156,10 @@ class ByteNet:
                     r[i, max(0, n[i] - w + 1) :] = -1e9
                 pooled.append(r.max(1))
             h = np.concatenate(pooled, 1)
-            z = np.where(h < -1e8, 0, np.tanh(h)) @ self.out + self.bias
+            act = np.where(h < -1e8, 0, np.tanh(h)).astype(np.float64)
+            z = np.broadcast_to(self.bias.astype(np.float64), (len(h), len(self.langs))).copy()
+            for f in range(act.shape[1]):  # one filter after the other: no batch changes the order
+                z += act[:, f, None] * self.out[f]
             np.add.at(total, text[at : at + 1024], np.log(self.softmax(z) + 1e-9) * np.maximum(n, 1)[:, None])
         return self.softmax(total / np.maximum(sizes, 1)[:, None] * np.minimum(counts, 4)[:, None])
 
@@ -170,24 +177,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_language_net(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> ByteNet | None:
-    """Trains on a sample of at most ``per_lang`` texts of each of at most ``max_langs`` languages.
-
-    A sampled text brings ``SAMPLE_CHARS`` characters from a place that its hash
-    names, so what comes to the driver has a bound.
-    """
+def fit_language_net(docs: DataFrame, per_lang: int = PER_LANG, sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
+    """Trains on a sample: of each language the ``per_lang`` whole texts with the smallest hashes, fewer where
+    there are so many languages that they would be over ``sample_rows`` together."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}"))
-    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().limit(max_langs + 1).collect())
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    langs = counts.count()
+    if not langs:
         return None
+    per_lang = min(per_lang, max(LEAST, sample_rows // langs))
     # a hash threshold by language gives about per_lang rows; the smallest hashes of those are taken
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    limit = F.element_at(F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(int(min(1.0, 1.5 * per_lang / n) * (1 << 30))))]), F.col("lang"))
-    place = (F.pmod(F.col("_hash"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1).cast("int")
-    sample = rows.withColumn("_hash", hashed).filter(F.col("_hash") < limit).select("lang", "_hash", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"))
-    got = sorted((r["lang"], r["_hash"], r["text"]) for r in sample.limit(2 * per_lang * len(counts)).collect())
+    limit = counts.select("lang", F.least(F.lit(float(1 << 30)), F.lit(1.5 * per_lang * (1 << 30)) / F.col("count")).alias("_limit"))
+    if langs <= BROADCAST_LANGS:  # texts stay where they are
+        limit = F.broadcast(limit)
+    near = rows.select("lang", "text", hashed.alias("_hash")).join(limit, "lang").filter(F.col("_hash") < F.col("_limit"))
+    near = near.groupBy("lang", "_hash").agg(F.min("text").alias("text"))  # rows repeated whole count once
+    by = Window.partitionBy("lang").orderBy("_hash", "text")
+    sample = near.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= per_lang)
+    got = sorted((r["lang"], r["_hash"], r["text"]) for r in sample.select("lang", "_hash", "text").collect())
     langs = sorted({r[0] for r in got})
     texts, labels = [], []
     for k, lang in enumerate(langs):

@@ -112,7 +112,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, keeps_
     def cut(batches):
         enc = encoder(tokenizer, keeps_space)
         for batch in batches:
-            for rows, texts in by_bytes(batch, "text"):
+            for rows, texts in by_bytes(batch, "text", 6 << 20):
                 ids, ends = encoder_with_end(enc, texts, end_id)
                 raw = ids.astype("<u4").view(np.uint8)
                 out = []

@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         n_docs = n_ids = 0
         top = np.iinfo(np.dtype(dtype)).max
         for batch in batches:
-            for rows, texts in by_bytes(batch, "text"):
+            for rows, texts in by_bytes(batch, "text", 6 << 20):
                 ids, ends = encoder_with_end(enc, texts, end_id)
                 if len(ids) and int(ids.max()) > top:
                     raise ValueError(f"an id doesn't fit {dtype}")

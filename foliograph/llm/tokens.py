@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words held per worker; beyond, the cache starts anew.
-CACHE_WORDS = 700_000
+#: Bytes that the words held per worker may take, some 160 beside a word's own; beyond, the cache starts anew.
+CACHE_BYTES, WORD_BYTES = 96 << 20, 160
 #: White space other than blank and line feed: such texts go to the library whole.
 ODD_SPACE = r"[\t\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 STOPS = (",", ".")
@@ -46,6 +46,7 @@ class WordEncoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
+        self.held = 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -78,6 +79,7 @@ class WordEncoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.starts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(lengths)
         self.used += len(ids)
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words)
         known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ends by text: one more than texts, from 0)."""
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.clear()
         n = len(texts)
         if self.keeps_space:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 def parse_pdf_date(c: Column) -> Column:
     """A PDF date string as timestamp: full form, without seconds, Z forms, date alone (UTC)."""
     s = F.translate(c, "D:'", "")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in ("yyyyMMddHHmmssxx", "yyyyMMddHHmmxx", "yyyyMMddHHmmssX", "yyyyMMddHHmmX", "yyyyMMdd")])
+    forms = [F.try_to_timestamp(s, F.lit(p)) for p in ("yyyyMMddHHmmssxx", "yyyyMMddHHmmxx", "yyyyMMddHHmmssX", "yyyyMMddHHmmX")]
+    # a date alone is midnight of UTC in any session's zone
+    return F.coalesce(*forms, F.when(F.length(s) == 8, F.try_to_timestamp(F.concat(s, F.lit("+0000")), F.lit("yyyyMMddxx"))))
 
 
 def write_pdf_date(ts: Column) -> Column:
-    return F.concat(F.lit("D:"), F.date_format(ts, "yyyyMMddHHmmss"), F.lit("Z"))
+    """UTC with Z, in any session's zone."""
+    return F.concat(F.lit("D:"), F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyyMMddHHmmss"), F.lit("Z"))

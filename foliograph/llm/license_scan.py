@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii
+from .common import documents, lower_ascii, table
 
 #: Phrases whose every place counts, with their labels.
 BASE = (
@@ -70,6 +70,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = hits.select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("at"), F.explode_outer("places").alias("p"))
     template = ["row", "doc_id", "n_words", F.col("p.t").alias("t"), F.col("p.label").alias("label"), F.col("p.is_base").alias("is_base"), F.col("p.votes_all").alias("votes_all")]
     votes = hits.groupBy(*template, (F.col("at") - F.col("p.tpos")).alias("diagonal")).agg(F.count("p").alias("votes"), F.collect_list("p.tpos").alias("places"))
+    votes = table(votes, "votes")  # read twice below: written, so that a row keeps its number and texts are read once
     # A base phrase stands where its diagonal has all votes. Passages: each diagonal with those up to the slack behind it is a span.
     by = Window.partitionBy("row", "t").orderBy("diagonal")
     place = F.expr("transform(places, x -> struct(x AS tpos, x + diagonal AS at))")

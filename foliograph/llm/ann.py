@@ -8,7 +8,11 @@ its error that a fresh query exceeds rarely. Per query, vectors whose upper
 bound reaches the k-th largest lower bound are reranked by the exact cosine.
 
 Queries go in blocks of bounded size over all partitions of the vectors: a
-partition returns its k best per query, and a ranking per query joins them.
+partition returns its k best per query, written before the next block is read,
+so the driver holds one block at a time; a ranking per query joins them.
+Queries times vectors bit products are counted, whatever the data look like:
+coarse cells were measured on the given vectors, which have no clusters, and
+half of the cells had to be read for a recall of 0.9.
 
 Defined results: vectors null, empty, zero, or with null or non-finite
 components take no part, neither as queries nor as candidates; vectors of
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .common import table
 
-BLOCK = 2048
+#: Queries of a block: 8 MB of doubles at 64 dimensions.
+BLOCK = 16384
 #: Error bounds in standard deviations of the estimate.
 EPSILON = 4.0
 OUT = "query_id long, vec_id long, score double"
@@ -43,13 +48,19 @@ def rotation(dims: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed sign bits, correction scalars, lengths) of vectors."""
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors by the power of two that brings their largest component to 0.5 to 1: squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(-1, keepdims=True))[1])
+
+
+def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed sign bits, correction scalars) of vectors."""
+    vectors = scaled(vectors)
     lengths = np.sqrt((vectors * vectors).sum(1))
     turned = (vectors / lengths[:, None]) @ turn
     signs = turned >= 0
     correction = np.abs(turned).sum(1) / np.sqrt(vectors.shape[1])
-    return np.packbits(signs, axis=1), correction, lengths
+    return np.packbits(signs, axis=1), correction
 
 
 def estimate(bits: np.ndarray, correction: np.ndarray, queries: np.ndarray, dims: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +73,7 @@ def estimate(bits: np.ndarray, correction: np.ndarray, queries: np.ndarray, dims
 
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosines in double precision; the same for equal vectors wherever they stand."""
+    query, vectors = scaled(query), scaled(vectors)
     return (vectors * query).sum(1) / (np.sqrt((query * query).sum()) * np.sqrt((vectors * vectors).sum(1)))
 
 
@@ -94,8 +106,11 @@ def _search(queries: list[tuple[int, np.ndarray]], k: int, epsilon: float):
 def _rank(own, ids, vectors, dims, k, epsilon, best) -> None:
     """Updates each query's k best with a block of vectors."""
     turn = rotation(dims)
-    bits, correction, _ = encode(vectors, turn)
-    q = np.stack([v for _, v in own])
+    bits, correction = encode(vectors, turn)
+    q = scaled(np.stack([v for _, v in own]))
+    # repeated rows of one vec_id fill one place of the k only
+    order = np.argsort(ids, kind="stable")
+    firsts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
     turned = (q / np.sqrt((q * q).sum(1))[:, None]) @ turn
     for at in range(0, len(own), 256):
         est, err = estimate(bits, correction, turned[at : at + 256], dims, epsilon)
@@ -103,7 +118,8 @@ def _rank(own, ids, vectors, dims, k, epsilon, best) -> None:
         for (qi, vector), up, lo in zip(own[at : at + 256], upper, lower, strict=True):
             found = best[qi]
             lo[ids == qi] = -np.inf
-            kth = np.partition(lo, -k)[-k] if len(lo) >= k else -np.inf
+            each = np.maximum.reduceat(lo[order], firsts) if len(firsts) < len(lo) else lo
+            kth = np.partition(each, -k)[-k] if len(each) >= k else -np.inf
             if len(found) >= k:
                 kth = max(kth, min(found.values()))
             pick = np.flatnonzero((up >= kth - 1e-6) & (ids != qi))
@@ -123,13 +139,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     blocks = -(-asked.count() // block)
     found = None
     for b in range(blocks):
-        # a block is bounded by its number of vectors; blocks follow each other
+        # a block is bounded by its number of vectors; its rows are written before the next one is read
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
         one = clean.mapInArrow(_search([(r["vec_id"], np.array(r["v"])) for r in part], k, epsilon), OUT)
+        one = table(one, "found")
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], OUT)
-    found = table(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

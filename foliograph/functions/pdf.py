@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
 from dataclasses import dataclass, field
 
 from . import crypto
 from .encodings import decode_text_string, font_encoding, text_string
-from .filters import LIMIT, compress, plain
+from .filters import LIMIT, compress, decompress, plain
 from .syntax import DEPTH, Name, Operation, PdfError, Ref, Str, Stream, parse_content, parse_value, skip_space, write_content, write_value
 
 DEREF = 128
@@ -187,6 +188,18 @@ def read_xref(buf: bytes, limit: int | None = LIMIT) -> tuple[dict[int, tuple],
     return merged, newest, start, revisions
 
 
+def unlocked(e, trailer: dict, password: str | None) -> crypto.Security | None:
+    """Opens with the empty password or the one given; None if there is none to try."""
+    own = trailer.get("ID")
+    own = bytes(own[0]) if isinstance(own, list) and own and isinstance(own[0], Str) else b""
+    try:
+        return crypto.Security.open(e, own, "")
+    except PdfError:
+        if password is None:
+            return None
+        return crypto.Security.open(e, own, password)
+
+
 def load(buf: bytes, password: str | None = None, strict: bool = False, limit: int | None = LIMIT, keep=None) -> Document:
     """keep: (Ref, value) to (Ref, value) or None, applied while objects are read."""
     head = buf.find(b"%PDF-")
@@ -211,15 +224,10 @@ def load(buf: bytes, password: str | None = None, strict: bool = False, limit: i
     if "Encrypt" in trailer:
         doc.encrypted = True
         e = doc.get(trailer["Encrypt"])
-        own = trailer.get("ID")
-        own = bytes(own[0]) if isinstance(own, list) and own and isinstance(own[0], Str) else b""
-        try:
-            security = crypto.Security.open(e, own, "")
-        except PdfError:
-            if password is None:
-                doc.objects = {trailer["Encrypt"]: e}
-                return doc
-            security = crypto.Security.open(e, own, password)
+        security = unlocked(e, trailer, password)
+        if security is None:
+            doc.objects = {trailer["Encrypt"]: e}
+            return doc
         doc.objects = {r: v if r == trailer["Encrypt"] else security.walk(r, v, security.decrypt) for r, v in doc.objects.items()}
         doc.objects.pop(trailer["Encrypt"], None)
         doc.trailer.pop("Encrypt")
@@ -244,11 +252,19 @@ def load(buf: bytes, password: str | None = None, strict: bool = False, limit: i
     return doc
 
 
-def metadata(buf: bytes, limit: int | None = LIMIT) -> dict:
-    """Info and page count from the few objects they need."""
+def metadata(buf: bytes, limit: int | None = LIMIT, password: str | None = None) -> dict:
+    """Info and page count from the few objects they need; no Info if the file stays locked."""
     buf = buf[max(0, buf.find(b"%PDF-")) :]
     xref, trailer, _, _ = read_xref(buf, limit)
     cache: dict[int, dict] = {}
+    security = None
+
+    def object_at(num):
+        e = xref.get(num)
+        if not e or e[0] != "Normal":
+            raise PdfError("ObjectNotFound", str(num))
+        ref, v = _object_at(buf, e[1], xref, len(buf), num)
+        return security.walk(ref, v, security.decrypt) if security else v
 
     def get(v):
         for _ in range(DEREF):
@@ -259,14 +275,20 @@ def metadata(buf: bytes, limit: int | None = LIMIT) -> dict:
                 return None
             if e[0] == "Compressed":
                 if e[1] not in cache:
-                    cache[e[1]] = object_stream(_object_at(buf, xref[e[1]][1], xref, len(buf), e[1])[1], limit)
+                    cache[e[1]] = object_stream(object_at(e[1]), limit)
                 v = cache[e[1]].get(v.num)
+            elif e[0] == "Normal":
+                v = object_at(v.num)
             else:
-                v = _object_at(buf, e[1], xref, len(buf), v.num)[1]
+                return None
         return None
 
-    info = get(trailer.get("Info")) if isinstance(trailer.get("Info"), Ref) else None
-    texts = {k: decode_text_string(v) for k, v in (info or {}).items() if isinstance(v, Str)}
+    locked = False
+    if "Encrypt" in trailer:
+        security = unlocked(get(trailer["Encrypt"]), trailer, password)
+        locked = security is None
+    info = get(trailer.get("Info")) if isinstance(trailer.get("Info"), Ref) and not locked else None
+    texts = {k: decode_text_string(v) for k, v in (info if isinstance(info, dict) else {}).items() if isinstance(v, Str)}
 
     def count(v, depth=0) -> int:
         d = get(v)
@@ -437,48 +459,44 @@ def page_text(doc: Document, page: Ref, limit: int | None = LIMIT) -> str:
     return ops_text(parse_content(page_content(doc, page, limit)), encodings)
 
 
-def ops_text(ops: list[Operation], encodings: dict) -> str:
-    """The text of operations; fonts that aren't known drop their text."""
-    out, font = [], None
-    last = "\n"
-
-    def show(v):
-        nonlocal last
-        if isinstance(v, Str) and font is not None and (t := font.decode(v)):
-            out.append(t)
-            last = t[-1]
+def _shown(font, operands: list) -> str:
+    """The text of shown operands; a wide kerning and the end of a nested array count as blanks."""
+    out = []
+    for v in operands:
+        if isinstance(v, Str):
+            out.append(font.decode(v))
         elif isinstance(v, list):
-            for x in v:
-                if isinstance(x, int) and not isinstance(x, bool) and x < KERNING_SPACE:
-                    out.append(" ")
-                    last = " "
-                else:
-                    show(x)
-
-    def line():
-        nonlocal last
-        if last != "\n":
-            out.append("\n")
-            last = "\n"
+            out.append(_shown(font, v) + " ")
+        elif isinstance(v, int) and not isinstance(v, bool) and v < KERNING_SPACE:
+            out.append(" ")
+    return "".join(out)
 
+
+def ops_text(ops: list[Operation], encodings: dict) -> str:
+    """The text of operations; fonts that aren't known drop their text. A font's choice begins a new chunk, which may begin with a line's end."""
+    out, chunk, font = [], "", None
     for o in ops:
-        if o.operator == "Tf" and o.operands and isinstance(o.operands[0], Name):
-            font = encodings.get(o.operands[0].decode("latin-1"))
-        elif o.operator in ("Tj", "'") and o.operands:
-            if o.operator == "'":
-                line()
-            show(o.operands[0])
-        elif o.operator == '"' and len(o.operands) > 2:
-            line()
-            show(o.operands[2])
-        elif o.operator == "TJ" and o.operands:
-            show(o.operands[0])
-            if font is not None:
-                out.append(" ")
-                last = " "
+        if o.operator == "Tf" and o.operands:
+            font = encodings.get(o.operands[0].decode("latin-1")) if isinstance(o.operands[0], Name) else None
+            out.append(chunk)
+            chunk = ""
+        elif o.operator in ("Tj", "TJ") and font is not None:
+            chunk += _shown(font, o.operands)
+        elif o.operator in ("'", '"') and font is not None:
+            chunk += "" if chunk.endswith("\n") else "\n"
+            chunk += _shown(font, o.operands if o.operator == "'" else o.operands[2:3])
         elif o.operator in ("T*", "ET"):
-            line()
-    return "".join(out)
+            chunk += "" if chunk.endswith("\n") else "\n"
+    return "".join([*out, chunk])
+
+
+def text_of(doc: Document, numbers: list[int]) -> list[str]:
+    """Texts of the pages asked for, in that order, as often as they are named."""
+    own = pages(doc)
+    for n in numbers:
+        if not 1 <= n <= len(own):
+            raise PdfError("PageNumberNotFound", str(n))
+    return [page_text(doc, own[n - 1]) for n in numbers]
 
 
 # Outline, graph and edits
@@ -639,6 +657,45 @@ def replace_partial(doc: Document, page: Ref, old: str, new: str) -> int:
     return n
 
 
+def replace_text(doc: Document, page: Ref, old: str, new: str) -> int:
+    """Replaces shown strings and arrays whose whole text is ``old``; the number of replacements.
+
+    An array's first string takes the new text, the others become empty, kerning stays.
+    """
+    encodings = {k: font_encoding(f, doc.soft) for k, f in page_fonts(doc, page).items()}
+    ops, font, n = parse_content(page_content(doc, page)), None, 0
+    for o in ops:
+        if o.operator == "Tf" and o.operands and isinstance(o.operands[0], Name):
+            font = encodings.get(o.operands[0].decode("latin-1"))
+        elif o.operator in ("Tj", "TJ") and font is not None:
+            for i, v in enumerate(o.operands):
+                if isinstance(v, Str) and font.decode(v) == old:
+                    o.operands[i] = Str(font.encode(new), v.hex)
+                    n += 1
+                elif isinstance(v, list) and _shown(font, v) == old:
+                    strings = [j for j, x in enumerate(v) if isinstance(x, Str)]
+                    for j in strings:
+                        v[j] = Str(font.encode(new) if j == strings[0] else b"", v[j].hex)
+                    n += 1
+    if n:
+        change_content(doc, page, write_content(ops))
+    return n
+
+
+def compress_all(doc: Document) -> None:
+    for v in doc.objects.values():
+        if isinstance(v, Stream) and v.allows_compression:
+            compress(v)
+
+
+def decompress_all(doc: Document) -> None:
+    """Streams that can't be decoded stay as they are."""
+    for v in doc.objects.values():
+        if isinstance(v, Stream):
+            with contextlib.suppress(PdfError):
+                decompress(v)
+
+
 def change_content(doc: Document, page: Ref, content: bytes) -> None:
     s = Stream({}, content)
     compress(s)

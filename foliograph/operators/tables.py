@@ -1,8 +1,9 @@
 """Corpora as tables: files to documents, pages, operations, objects and edges.
 
 Every kernel works on one file at a time inside mapInPandas, so tasks hold a
-batch of files and nothing else; everything after is DataFrame work on ids.
-A file that can't be read gives no rows, or fails the job with ``strict``.
+few files and nothing else; everything after is DataFrame work on ids.
+A file that can't be read gives no rows, or fails the job with ``strict``;
+``read_errors`` lists what is wrong with each file.
 """
 
 from __future__ import annotations
@@ -15,23 +16,40 @@ from ..functions.encodings import decode_text_string
 from ..functions.syntax import Name, PdfError, Str, kind, parse_content
 
 
+#: Bytes of files whose rows are handed on at once.
+FLUSH = 32 << 20
+
+
+def guarded(rows, content: bytes) -> list:
+    """The rows of one file; whatever a damaged file raises is a PdfError."""
+    try:
+        return list(rows(content))
+    except (PdfError, MemoryError):
+        raise
+    except Exception as x:
+        raise PdfError("Damaged", f"{type(x).__name__}: {x}") from x
+
+
 def each_file(files: DataFrame, schema: str, rows, strict: bool = False) -> DataFrame:
     """``rows(content)`` gives tuples without doc_id; ``files`` has doc_id, of any type, and content."""
 
     def run(batches):
         names = ["doc_id", *[c.strip().split(" ")[0] for c in schema.split(",")]]
+        # as objects, or whole numbers beside nulls would become floats
+        frame = lambda out: pd.DataFrame(out, columns=names, dtype=object)
         for batch in batches:
-            out = []
+            out, size = [], 0
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
-                    got = list(rows(bytes(content)))
+                    out += [(doc_id, *r) for r in guarded(rows, bytes(content))]
                 except PdfError:
                     if strict:
                         raise
-                    continue
-                out += [(doc_id, *r) for r in got]
-            # as objects, or whole numbers beside nulls would become floats
-            yield pd.DataFrame(out, columns=names, dtype=object)
+                size += len(content)
+                if size > FLUSH:
+                    yield frame(out)
+                    out, size = [], 0
+            yield frame(out)
 
     key = files.schema["doc_id"].dataType.simpleString()
     return files.filter("content IS NOT NULL").select("doc_id", "content").mapInPandas(run, f"doc_id {key}, {schema}")
@@ -71,34 +89,57 @@ def outline(files: DataFrame) -> DataFrame:
     return each_document(files, "seq int, level int, title string, page_no int", lambda d: [(i, *t) for i, t in enumerate(pdf.toc(d), 1)])
 
 
-def metadata(files: DataFrame) -> DataFrame:
+def metadata(files: DataFrame, password: str | None = None, strict: bool = False) -> DataFrame:
     """doc_id, title, author, keywords, page_count, version, encrypted; reads only what these need."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                m = pdf.metadata(bytes(content))
-                out.append((doc_id, m["info"].get("Title"), m["info"].get("Author"), m["info"].get("Keywords"), m["pages"], m["version"], m["encrypted"]))
-            yield pd.DataFrame(out, columns=["doc_id", "title", "author", "keywords", "page_count", "version", "encrypted"])
+    def rows(content):
+        m = pdf.metadata(content, password=password)
+        yield m["info"].get("Title"), m["info"].get("Author"), m["info"].get("Keywords"), m["pages"], m["version"], m["encrypted"]
 
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id long, title string, author string, keywords string, page_count int, version string, encrypted boolean")
+    return each_file(files, "title string, author string, keywords string, page_count int, version string, encrypted boolean", rows, strict)
 
 
-def rewrite(files: DataFrame, change, **save) -> DataFrame:
+def rewrite(files: DataFrame, change, password: str | None = None, strict: bool = False, **save) -> DataFrame:
     """doc_id, content after ``change(document)`` and a new save."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                doc = pdf.load(bytes(content))
-                change(doc)
-                out.append((doc_id, pdf.save(doc, **save)))
-            yield pd.DataFrame(out, columns=["doc_id", "content"])
+    def rows(content):
+        doc = pdf.load(content, password)
+        change(doc)
+        yield (pdf.save(doc, **save),)
 
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id long, content binary")
+    return each_file(files, "content binary", rows, strict)
+
+
+def read_errors(files: DataFrame, password: str | None = None) -> DataFrame:
+    """doc_id, code, detail of each file's first error; nulls for a file that loads and whose pages give text."""
+
+    def rows(content):
+        def read(content):
+            doc = pdf.load(content, password)
+            for p in pdf.pages(doc):
+                pdf.page_text(doc, p)
+            return []
+
+        try:
+            guarded(read, content)
+        except PdfError as x:
+            return [(x.code, x.detail)]
+        return [(None, None)]
+
+    return each_file(files, "code string, detail string", rows)
+
+
+def page_list(files: DataFrame, numbers: list[int], password: str | None = None) -> DataFrame:
+    """doc_id, pos, page_no, text, error: the pages asked for, in that order, as often as they are named."""
+
+    def rows(d):
+        for pos, n in enumerate(numbers, 1):
+            try:
+                yield pos, n, pdf.text_of(d, [n])[0], None
+            except PdfError as x:
+                yield pos, n, None, x.code
 
+    return each_document(files, "pos int, page_no int, text string, error string", rows, password)
 
 
 def images(files: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from ..operators.scalars import parse_pdf_date, write_pdf_date
 LINES = 5
 
 
-def corpus(spark: SparkSession, sf_dir: str, security: bool = False, orphans: int = 0, **save) -> DataFrame:
-    """doc_id, content."""
+def corpus(spark: SparkSession, sf_dir: str, security: bool = False, orphans: int = 0, damage=None, **save) -> DataFrame:
+    """doc_id, content; ``damage(content, lang)`` may change the bytes."""
 
     def run(batches):
         guard = crypto.Security.create(2, "owner", "user", random=lambda n: bytes(n)) if security else None
@@ -30,7 +30,8 @@ def corpus(spark: SparkSession, sf_dir: str, security: bool = False, orphans: in
                 doc = pdf.build(f"doc-{doc_id}", source or "", lang or "", [lines[i : i + LINES] for i in range(0, len(lines), LINES)])
                 for _ in range(orphans):
                     doc.add({"Type": Name(b"Orphan")})
-                out.append((doc_id, pdf.save(doc, security=guard, **save)))
+                content = pdf.save(doc, security=guard, **save)
+                out.append((doc_id, damage(content, lang) if damage else content))
             yield pd.DataFrame(out, columns=["doc_id", "content"])
 
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").mapInPandas(run, "doc_id long, content binary")
@@ -191,7 +192,37 @@ def pdf_zero_length_streams(spark, sf_dir):
     return tables.each_document(corpus(spark, sf_dir), "deleted int, left int", rows)
 
 
-QUERIES = {f.__name__: f for f in (pdf_page_text, pdf_document_text, pdf_metadata, pdf_object_histogram, pdf_ops_histogram, pdf_toc, pdf_edges, pdf_prune, pdf_delete_pages, pdf_replace_partial, pdf_renumber, pdf_objstm_packing, pdf_encrypt_roundtrip, pdf_date_parse, pdf_nodes, pdf_incremental_xref, pdf_incremental_rotate, pdf_dangling, pdf_referrers, pdf_bookmarks, pdf_images, pdf_image_page_text, pdf_annotations, pdf_fonts, pdf_zero_length_streams)}
+def pdf_errors(spark, sf_dir):
+    """Files of two languages are damaged: bytes without a header, and a file cut after it."""
+    damage = lambda content, lang: {"de": b"no header", "fr": content[:12]}.get(lang, content)
+    return tables.read_errors(corpus(spark, sf_dir, damage=damage)).select("doc_id", "code")
+
+
+def pdf_encrypted_metadata(spark, sf_dir):
+    return tables.metadata(corpus(spark, sf_dir, security=True), "user")
+
+
+def pdf_replace_text(spark, sf_dir):
+    """The lines of a page that equal its first one."""
+
+    def change(d):
+        for p in pdf.pages(d):
+            pdf.replace_text(d, p, pdf.page_text(d, p).split("\n")[0], "REPLACED")
+
+    return tables.page_texts(tables.rewrite(corpus(spark, sf_dir), change))
+
+
+def pdf_page_list(spark, sf_dir):
+    return tables.page_list(corpus(spark, sf_dir), [2, 1, 2])
+
+
+def pdf_compress_roundtrip(spark, sf_dir):
+    """Every stream compressed, saved, and decompressed again."""
+    packed = tables.rewrite(corpus(spark, sf_dir), pdf.compress_all)
+    return tables.page_texts(tables.rewrite(packed, pdf.decompress_all))
+
+
+QUERIES = {f.__name__: f for f in (pdf_page_text, pdf_document_text, pdf_metadata, pdf_object_histogram, pdf_ops_histogram, pdf_toc, pdf_edges, pdf_prune, pdf_delete_pages, pdf_replace_partial, pdf_renumber, pdf_objstm_packing, pdf_encrypt_roundtrip, pdf_date_parse, pdf_nodes, pdf_incremental_xref, pdf_incremental_rotate, pdf_dangling, pdf_referrers, pdf_bookmarks, pdf_images, pdf_image_page_text, pdf_annotations, pdf_fonts, pdf_zero_length_streams, pdf_errors, pdf_encrypted_metadata, pdf_replace_text, pdf_page_list, pdf_compress_roundtrip)}
 
 _LINES = """WITH raw AS (SELECT doc_id, source, lang, t.line, t.ordinality AS pos
   FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, ordinality)),
@@ -226,4 +257,9 @@ SQL = {
     "pdf_annotations": _LINES + "SELECT doc_id, CAST(i AS INT) AS page_no, CAST(k AS INT) AS idx, CASE k WHEN 0 THEN 'Text' ELSE 'Link' END AS subtype, CASE k WHEN 0 THEN 'note ' || i END AS contents FROM d, LATERAL (SELECT unnest(generate_series(1, pages)) AS i), LATERAL (SELECT unnest([0, 1]) AS k)",
     "pdf_fonts": _LINES + "SELECT doc_id, CAST(i AS INT) AS page_no, 'F1' AS name, 'Courier' AS base_font, 'Type1' AS subtype FROM d, LATERAL (SELECT unnest(generate_series(1, pages)) AS i)",
     "pdf_zero_length_streams": _LINES + "SELECT doc_id, CAST(2 AS INT) AS deleted, CAST(0 AS INT) AS left FROM d",
+    "pdf_errors": "SELECT doc_id, CASE lang WHEN 'de' THEN 'Parse' WHEN 'fr' THEN 'Xref' END AS code FROM documents",
+    "pdf_encrypted_metadata": _LINES + "SELECT doc_id, 'doc-' || doc_id AS title, source AS author, lang AS keywords, pages AS page_count, '1.4' AS version, true AS encrypted FROM d",
+    "pdf_replace_text": _LINES + ", m AS (SELECT doc_id, rn, line, first_value(line) OVER (PARTITION BY doc_id, (rn-1)//5 ORDER BY rn) AS head FROM l) SELECT doc_id, CAST((rn-1)//5 + 1 AS INT) AS page_no, string_agg(CASE WHEN line = head THEN 'REPLACED' ELSE line END, chr(10) ORDER BY rn) || chr(10) AS text FROM m GROUP BY doc_id, (rn-1)//5",
+    "pdf_page_list": _LINES + ", t AS (SELECT doc_id, CAST((rn-1)//5 + 1 AS INT) AS page_no, string_agg(line, chr(10) ORDER BY rn) || chr(10) AS text FROM l GROUP BY doc_id, (rn-1)//5) SELECT d.doc_id, CAST(a.pos AS INT) AS pos, CAST(a.page_no AS INT) AS page_no, t.text, CASE WHEN a.page_no > d.pages THEN 'PageNumberNotFound' END AS error FROM d CROSS JOIN (VALUES (1, 2), (2, 1), (3, 2)) AS a(pos, page_no) LEFT JOIN t ON t.doc_id = d.doc_id AND t.page_no = a.page_no",
+    "pdf_compress_roundtrip": _PAGES.format(line="line", where=""),
 }

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -96,11 +97,13 @@ class WordEncoder:
         vocabularies, so only the word before it has to be tokenized.
         """
         known = self.known
-        got = list(map(known.get, words))
-        new = [w for w, g in zip(words, got, strict=True) if g is None]
-        if new:
-            ends = [w for w in new if w[-1:] in STOPS and w[-2:-1] in LATIN and w[-2:-1]]
-            whole = [w for w in new if not (w[-1:] in STOPS and w[-2:-1] in LATIN and w[-2:-1])]
+        got = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            ends, whole = [], []
+            for w in new:
+                (ends if w[-1:] in STOPS and w[-2:-1] in LATIN and w[-2:-1] else whole).append(w)
             stems = [w[:-1] for w in ends]
             ask = list(dict.fromkeys([*whole, *(w for w in (*stems, *STOPS) if w not in known)]))
             if ask:
@@ -111,8 +114,8 @@ class WordEncoder:
                 pairs[1::2] = [known[w[-1]] for w in ends]
                 ids, lengths = self._gather(pairs)
                 self._add(ends, ids, lengths[::2] + lengths[1::2])
-            got = list(map(known.get, words))
-        return np.asarray(got, np.int64)
+            got[missing] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        return got
 
     def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ends by text: one more than texts, from 0)."""
@@ -128,34 +131,37 @@ class WordEncoder:
         ends = ends - ends[0]
         flat = lists.flatten()
         coded = flat.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+        words, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         whole: dict[int, list[int]] = {}
         odd = np.zeros(n, bool)
         if self.added:
             odd = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         if self.keeps_space:
             odd = odd | pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
-            odd_words = np.array([w in ("", "\n") for w in words], bool)
+            odd_words = pc.is_in(words, pa.array(["", "\n"], words.type)).to_numpy(zero_copy_only=False)
             if odd_words.any():
                 bad_sum = np.concatenate([[0], np.cumsum(odd_words[index])])
                 odd = odd | (bad_sum[ends[1:]] > bad_sum[ends[:-1]])
             firsts = ends[:-1][ends[1:] > ends[:-1]]
             first_words = flat.take(pa.array(firsts)).to_pylist()
-            numbers = self._numbers([w if w[:1] == "\n" else " " + w for w in words])[index]
+            spaced = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type)))
+            numbers = self._numbers(spaced.to_pylist())[index]
             distinct = dict.fromkeys(first_words)
             at = dict(zip(distinct, self._numbers(list(distinct)), strict=True))
             numbers[firsts] = [at[w] for w in first_words]
         else:
-            numbers = self._numbers(words)[index]
+            numbers = self._numbers(words.to_pylist())[index]
         odd_rows = np.flatnonzero(odd)
         if len(odd_rows):
             whole = dict(zip(odd_rows.tolist(), self._library([texts[int(i)].as_py() for i in odd_rows]), strict=True))
         begin = self.starts[numbers]
-        length = self.starts[numbers + 1] - begin
+        numbers += 1
+        length = self.starts[numbers] - begin
         for i in whole:  # their own ids come below
             length[ends[i] : ends[i + 1]] = 0
         placed = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool[np.repeat(begin - placed[:-1], length) + np.arange(placed[-1])]
+        narrow = np.int32 if max(int(placed[-1]), self.used) < 1 << 31 else np.int64
+        ids = self.pool.take(np.repeat((begin - placed[:-1]).astype(narrow), length) + np.arange(placed[-1], dtype=narrow))
         out = placed[ends]
         if whole:
             parts, sizes = [], np.diff(out)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that the words held per worker may take, some 160 beside a word's own; beyond, the cache starts anew.
-CACHE_BYTES, WORD_BYTES = 96 << 20, 160
+CACHE_BYTES, WORD_BYTES = 224 << 20, 160
 #: White space other than blank and line feed: such texts go to the library whole.
 ODD_SPACE = r"[\t\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 STOPS = (",", ".")

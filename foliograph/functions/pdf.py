@@ -283,9 +283,11 @@ def metadata(buf: bytes, limit: int | None = LIMIT, password: str | None = None)
                 return None
         return None
 
-    locked = False
+    locked, flags = False, None
     if "Encrypt" in trailer:
-        security = unlocked(get(trailer["Encrypt"]), trailer, password)
+        e = get(trailer["Encrypt"])
+        flags = e.get("P") if isinstance(e, dict) and isinstance(e.get("P"), int) else None
+        security = unlocked(e, trailer, password)
         locked = security is None
     info = get(trailer.get("Info")) if isinstance(trailer.get("Info"), Ref) and not locked else None
     texts = {k: decode_text_string(v) for k, v in (info if isinstance(info, dict) else {}).items() if isinstance(v, Str)}
@@ -301,7 +303,7 @@ def metadata(buf: bytes, limit: int | None = LIMIT, password: str | None = None)
         return sum(count(k, depth + 1) for k in d.get("Kids") or [])
 
     root = get(trailer.get("Root"))
-    return {"info": texts, "pages": count(root.get("Pages")) if isinstance(root, dict) else 0, "version": buf[5:8].decode("latin-1"), "encrypted": "Encrypt" in trailer}
+    return {"info": texts, "pages": count(root.get("Pages")) if isinstance(root, dict) else 0, "version": buf[5:8].decode("latin-1"), "encrypted": "Encrypt" in trailer, "permissions": flags}
 
 
 # Saving
@@ -624,7 +626,8 @@ def merge(docs: list[Document]) -> Document:
         root = d.trailer.get("Root")
         roots.append(doc_pages := d.catalog.get("Pages"))
         out.objects |= {r: v for r, v in d.objects.items() if r != root}
-        assert isinstance(doc_pages, Ref)
+        if not isinstance(doc_pages, Ref):
+            raise PdfError("ObjectType", "Pages")
     top = out.add({"Type": Name(b"Pages"), "Kids": roots, "Count": total})
     for r in roots:
         out.objects[r]["Parent"] = top

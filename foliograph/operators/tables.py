@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions import edit, pdf
+from ..functions import crypto, edit, pdf
 from ..functions.encodings import decode_text_string
 from ..functions.syntax import Name, PdfError, Str, kind, parse_content
 
@@ -99,6 +100,12 @@ def metadata(files: DataFrame, password: str | None = None, strict: bool = False
     return each_file(files, "title string, author string, keywords string, page_count int, version string, encrypted boolean", rows, strict)
 
 
+def permissions(files: DataFrame) -> DataFrame:
+    """doc_id, flags (P of the Encrypt dictionary; null if there is none), and a column per permission; no password needed."""
+    flags = each_file(files, "flags long", lambda content: [(pdf.metadata(content)["permissions"],)])
+    return flags.select("*", *[(F.col("flags").bitwiseAND(F.lit(bit)) != 0).alias(name) for name, bit in crypto.PERMISSIONS.items()])
+
+
 def rewrite(files: DataFrame, change, password: str | None = None, strict: bool = False, **save) -> DataFrame:
     """doc_id, content after ``change(document)`` and a new save."""
 

@@ -18,11 +18,11 @@ from ..operators.scalars import parse_pdf_date, write_pdf_date
 LINES = 5
 
 
-def corpus(spark: SparkSession, sf_dir: str, security: bool = False, orphans: int = 0, damage=None, **save) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, security: bool = False, orphans: int = 0, damage=None, permissions: int = -4, **save) -> DataFrame:
     """doc_id, content; ``damage(content, lang)`` may change the bytes."""
 
     def run(batches):
-        guard = crypto.Security.create(2, "owner", "user", random=lambda n: bytes(n)) if security else None
+        guard = crypto.Security.create(2, "owner", "user", permissions, random=lambda n: bytes(n)) if security else None
         for batch in batches:
             out = []
             for doc_id, text, lang, source in zip(batch["doc_id"], batch["text"], batch["lang"], batch["source"], strict=True):
@@ -202,6 +202,12 @@ def pdf_encrypted_metadata(spark, sf_dir):
     return tables.metadata(corpus(spark, sf_dir, security=True), "user")
 
 
+def pdf_permissions(spark, sf_dir):
+    """Files that may be printed and copied from, and nothing else."""
+    allowed = crypto.PERMISSIONS["print"] | crypto.PERMISSIONS["copy"]
+    return tables.permissions(corpus(spark, sf_dir, security=True, permissions=allowed)).drop("flags")
+
+
 def pdf_replace_text(spark, sf_dir):
     """The lines of a page that equal its first one."""
 
@@ -222,7 +228,7 @@ def pdf_compress_roundtrip(spark, sf_dir):
     return tables.page_texts(tables.rewrite(packed, pdf.decompress_all))
 
 
-QUERIES = {f.__name__: f for f in (pdf_page_text, pdf_document_text, pdf_metadata, pdf_object_histogram, pdf_ops_histogram, pdf_toc, pdf_edges, pdf_prune, pdf_delete_pages, pdf_replace_partial, pdf_renumber, pdf_objstm_packing, pdf_encrypt_roundtrip, pdf_date_parse, pdf_nodes, pdf_incremental_xref, pdf_incremental_rotate, pdf_dangling, pdf_referrers, pdf_bookmarks, pdf_images, pdf_image_page_text, pdf_annotations, pdf_fonts, pdf_zero_length_streams, pdf_errors, pdf_encrypted_metadata, pdf_replace_text, pdf_page_list, pdf_compress_roundtrip)}
+QUERIES = {f.__name__: f for f in (pdf_page_text, pdf_document_text, pdf_metadata, pdf_object_histogram, pdf_ops_histogram, pdf_toc, pdf_edges, pdf_prune, pdf_delete_pages, pdf_replace_partial, pdf_renumber, pdf_objstm_packing, pdf_encrypt_roundtrip, pdf_date_parse, pdf_nodes, pdf_incremental_xref, pdf_incremental_rotate, pdf_dangling, pdf_referrers, pdf_bookmarks, pdf_images, pdf_image_page_text, pdf_annotations, pdf_fonts, pdf_zero_length_streams, pdf_errors, pdf_encrypted_metadata, pdf_permissions, pdf_replace_text, pdf_page_list, pdf_compress_roundtrip)}
 
 _LINES = """WITH raw AS (SELECT doc_id, source, lang, t.line, t.ordinality AS pos
   FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, ordinality)),
@@ -259,6 +265,7 @@ SQL = {
     "pdf_zero_length_streams": _LINES + "SELECT doc_id, CAST(2 AS INT) AS deleted, CAST(0 AS INT) AS left FROM d",
     "pdf_errors": "SELECT doc_id, CASE lang WHEN 'de' THEN 'Parse' WHEN 'fr' THEN 'Xref' END AS code FROM documents",
     "pdf_encrypted_metadata": _LINES + "SELECT doc_id, 'doc-' || doc_id AS title, source AS author, lang AS keywords, pages AS page_count, '1.4' AS version, true AS encrypted FROM d",
+    "pdf_permissions": 'SELECT doc_id, true AS "print", false AS modify, true AS "copy", false AS annotate, false AS fill, false AS accessible, false AS assemble, false AS print_high_quality FROM documents',
     "pdf_replace_text": _LINES + ", m AS (SELECT doc_id, rn, line, first_value(line) OVER (PARTITION BY doc_id, (rn-1)//5 ORDER BY rn) AS head FROM l) SELECT doc_id, CAST((rn-1)//5 + 1 AS INT) AS page_no, string_agg(CASE WHEN line = head THEN 'REPLACED' ELSE line END, chr(10) ORDER BY rn) || chr(10) AS text FROM m GROUP BY doc_id, (rn-1)//5",
     "pdf_page_list": _LINES + ", t AS (SELECT doc_id, CAST((rn-1)//5 + 1 AS INT) AS page_no, string_agg(line, chr(10) ORDER BY rn) || chr(10) AS text FROM l GROUP BY doc_id, (rn-1)//5) SELECT d.doc_id, CAST(a.pos AS INT) AS pos, CAST(a.page_no AS INT) AS page_no, t.text, CASE WHEN a.page_no > d.pages THEN 'PageNumberNotFound' END AS error FROM d CROSS JOIN (VALUES (1, 2), (2, 1), (3, 2)) AS a(pos, page_no) LEFT JOIN t ON t.doc_id = d.doc_id AND t.page_no = a.page_no",
     "pdf_compress_roundtrip": _PAGES.format(line="line", where=""),

@@ -3,10 +3,33 @@
 import pytest
 
 from foliograph.functions import crypto, pdf
-from foliograph.functions.syntax import PdfError
+from foliograph.functions.syntax import PdfError, Ref, parse_content, parse_value
 
 
 
+def test_numbers_without_a_search(monkeypatch):
+    """A new object's number doesn't need a look at all objects each time."""
+    doc, looks = pdf.build("t", "a", "k", [[b"one"]]), []
+    highest = pdf.Document.max_id.fget
+    monkeypatch.setattr(pdf.Document, "max_id", property(lambda d: looks.append(1) or highest(d)))
+    first = doc.add({}).num
+    assert [doc.add({}).num for _ in range(99)] == list(range(first + 1, first + 100)) and len(looks) == 1
+    doc.objects[Ref(first + 500)] = {}
+    assert doc.add({}).num == first + 501
+    doc.objects.pop(Ref(first + 501))
+    doc.objects.pop(Ref(first + 500))
+    assert doc.add({}).num == first + 100
+    doc.objects = {Ref(3): {}}
+    assert doc.add({}).num == 4
+
+
+def test_comments_are_skipped_whole():
+    assert [o.operator for o in parse_content(b"BT % comment\n(a) Tj % (b) Tj\nET %tail")] == ["BT", "Tj", "ET"]
+    assert parse_value(b"<</A 1%x /B 2\n/C/D>>")[0] == {"A": 1, "C": b"D"}
+    with pytest.raises(PdfError):
+        parse_value(b"% tail .25 ")
+
+
 def test_keys_are_kept(monkeypatch):
     """Files of one producer share their keys: what follows from a key alone is made once."""
     guard, made = crypto.Security.create(2, "owner", "user", random=lambda n: bytes(n)), []

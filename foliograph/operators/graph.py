@@ -68,6 +68,16 @@ def dangling(edges: DataFrame, objects: DataFrame) -> DataFrame:
     return edges.join(objects.select("doc_id", F.col("obj_num").alias("dst_num")), ["doc_id", "dst_num"], "left_anti")
 
 
+def dangling_of(files: DataFrame) -> DataFrame:
+    """``dangling`` of files that are at hand, found in each one: doc_id, dst_num, src_num, path."""
+
+    def rows(d):
+        own = {r.num for r in d.objects}
+        return [(x.num, n, path) for n, v in [(0, d.trailer), *((r.num, v) for r, v in d.objects.items())] for path, x in pdf.references(v) if x.num not in own]
+
+    return each_document(files, "dst_num long, src_num long, path string", rows)
+
+
 def referrers(edges: DataFrame) -> DataFrame:
     """doc_id, dst_num, sources (how many objects point there), uses."""
     return edges.groupBy("doc_id", "dst_num").agg(F.countDistinct("src_num").alias("sources"), F.count(F.lit(1)).alias("uses"))

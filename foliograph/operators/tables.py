@@ -1,24 +1,28 @@
 """Corpora as tables: files to documents, pages, operations, objects and edges.
 
-Every kernel works on one file at a time inside mapInPandas, so tasks hold a
-few files and nothing else; everything after is DataFrame work on ids.
+Every kernel works on one file at a time inside mapInArrow. Kernels that follow
+each other run in one Python worker, file by file: content goes from one to the
+next without a batch in between, so a task holds one file, the rows of some
+files, and nothing else. Everything after is DataFrame work on ids.
 A file that can't be read gives no rows, or fails the job with ``strict``;
 ``read_errors`` lists what is wrong with each file.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import crypto, edit, pdf
 from ..functions.encodings import decode_text_string
 from ..functions.syntax import Name, PdfError, Str, kind, parse_content
 
 
-#: Bytes of files whose rows are handed on at once.
-FLUSH = 32 << 20
+#: Bytes of files whose rows are handed on at once, rows handed on at once, and rows taken at once.
+FLUSH, FLUSH_ROWS, TAKE = 4 << 20, 8192, 64
 
 
 def guarded(rows, content: bytes) -> list:
@@ -31,29 +35,51 @@ def guarded(rows, content: bytes) -> list:
         raise PdfError("Damaged", f"{type(x).__name__}: {x}") from x
 
 
+def each_row(source: DataFrame, schema: str, kernel) -> DataFrame:
+    """``kernel(*row)`` gives the tuples that a row becomes. Content that it makes stays in its worker if the next kernel takes it."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        out, size = [], 0
+        for taken in batches:
+            for at in range(0, taken.num_rows, TAKE):
+                for row in zip(*[c.to_pylist() for c in taken.slice(at, TAKE).columns], strict=True):
+                    size += sum(len(x) for x in row if isinstance(x, (bytes, str)))
+                    out += kernel(*row)
+                    if out and (size > FLUSH or len(out) > FLUSH_ROWS):
+                        yield batch(out)
+                        out, size = [], 0
+        if out:
+            yield batch(out)
+
+    made = source.mapInArrow(run, schema)
+    if schema.endswith(", content binary"):
+        made._made_by = source, kernel
+    return made
+
+
 def each_file(files: DataFrame, schema: str, rows, strict: bool = False) -> DataFrame:
     """``rows(content)`` gives tuples without doc_id; ``files`` has doc_id, of any type, and content."""
 
-    def run(batches):
-        names = ["doc_id", *[c.strip().split(" ")[0] for c in schema.split(",")]]
-        # as objects, or whole numbers beside nulls would become floats
-        frame = lambda out: pd.DataFrame(out, columns=names, dtype=object)
-        for batch in batches:
-            out, size = [], 0
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    out += [(doc_id, *r) for r in guarded(rows, bytes(content))]
-                except PdfError:
-                    if strict:
-                        raise
-                size += len(content)
-                if size > FLUSH:
-                    yield frame(out)
-                    out, size = [], 0
-            yield frame(out)
+    def one(doc_id, content):
+        if content is None:
+            return []
+        try:
+            return [(doc_id, *r) for r in guarded(rows, content)]
+        except PdfError:
+            if strict:
+                raise
+            return []
 
     key = files.schema["doc_id"].dataType.simpleString()
-    return files.filter("content IS NOT NULL").select("doc_id", "content").mapInPandas(run, f"doc_id {key}, {schema}")
+    source, kernel = files.select("doc_id", "content"), one
+    if "_made_by" in vars(files):
+        source, before = files._made_by
+        kernel = lambda *row: [x for file in before(*row) for x in one(*file)]
+    return each_row(source, f"doc_id {key}, {schema}", kernel)
 
 
 def each_document(files: DataFrame, schema: str, rows, password: str | None = None, strict: bool = False) -> DataFrame:
@@ -66,6 +92,16 @@ def page_texts(files: DataFrame, password: str | None = None) -> DataFrame:
     return each_document(files, "page_no int, text string", lambda d: [(i, pdf.page_text(d, p)) for i, p in enumerate(pdf.pages(d), 1)], password)
 
 
+def document_texts(files: DataFrame) -> DataFrame:
+    """doc_id, text of all pages; a document without pages has no row."""
+
+    def rows(d):
+        own = pdf.pages(d)
+        return [("".join([pdf.page_text(d, p) for p in own]),)] if own else []
+
+    return each_document(files, "text string", rows)
+
+
 def operations(files: DataFrame) -> DataFrame:
     """doc_id, page_no, op_idx, operator."""
     return each_document(files, "page_no int, op_idx int, operator string", lambda d: [(n, i, o.operator) for n, p in enumerate(pdf.pages(d), 1) for i, o in enumerate(parse_content(pdf.page_content(d, p)))])

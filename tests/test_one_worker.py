@@ -1,10 +1,56 @@
 """What keeps a query's memory and seconds in proportion to its input."""
 
+import pyarrow as pa
 import pytest
 
-from foliograph.functions import crypto, pdf
+import __spark_entry__
+from foliograph.functions import crypto, edit, pdf
 from foliograph.functions.syntax import PdfError, Ref, parse_content, parse_value
+from foliograph.operators import tables
 
+SF = "/root/testdata/sf0.001"
+CHAINS = ("replace_text", "incremental_rotate", "encrypt_roundtrip", "permissions", "document_text", "toc", "image_page_text", "replace_partial", "images", "compress_roundtrip", "dangling", "delete_pages", "page_text", "bookmarks")
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_one_python_step(spark, name):
+    """Content goes from kernel to kernel in one worker; no texts are shuffled."""
+    plan = __spark_entry__.queries()[f"pdf_{name}"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1
+    assert ("Aggregate" in plan) == (name == "dangling") and "Join" not in plan
+
+
+def test_batches(spark):
+    """Rows leave in batches that are bounded by rows and by the bytes of their files."""
+
+    class Source:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = tables.each_row(Source(), "doc_id long, n int", lambda doc_id, content: [(doc_id, k) for k in range(len(content) // 1000)])
+    for n, size in ((3000, 20_000), (100, 1_000_000)):
+        taken = [pa.RecordBatch.from_pydict({"doc_id": list(range(at, at + n // 2)), "content": [bytes(size)] * (n // 2)}) for at in (0, n // 2)]
+        got = list(run(iter(taken)))
+        assert sum(b.num_rows for b in got) == n * size // 1000
+        assert all(b.num_rows <= tables.FLUSH_ROWS + size // 1000 and b.num_rows * 1000 <= tables.FLUSH + size for b in got)
+    assert list(run(iter([]))) == []
+
+
+def test_chain_equals_single_steps(spark):
+    """Kernels in one worker give what they give one by one, also where a step drops a file."""
+    good = pdf.save(pdf.build("t", "a", "k", [[b"one"], [b"two"]]))
+    files = spark.createDataFrame([("a", good), ("b", b"junk"), ("c", None), ("d", good)], "doc_id string, content binary")
+
+    def change(d):
+        pdf.delete_pages(d, [1])
+
+    chained = tables.page_texts(tables.update(tables.rewrite(files, change), lambda d: edit.rotate(d, 90)))
+    single = tables.rewrite(files, change).select("*").persist()
+    single = tables.page_texts(tables.update(single, lambda d: edit.rotate(d, 90)).select("*"))
+    want = [("a", 1, "two\n"), ("d", 1, "two\n")]
+    assert sorted(map(tuple, chained.collect())) == sorted(map(tuple, single.collect())) == want
+    with pytest.raises(Exception, match="PdfError"):
+        tables.page_texts(tables.rewrite(files, change, strict=True)).collect()
 
 
 def test_numbers_without_a_search(monkeypatch):
